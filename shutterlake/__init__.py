@@ -1 +1 @@
-
+"""Photo-library analytics on Spark: plain functions from DataFrames to DataFrames."""
