@@ -15,7 +15,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     grows with the logarithm of the diameter. Each round is a written table. Self loops are allowed, nulls are dropped, and
     an empty edge table gives an empty result. The aggregates combine before they shuffle, so hubs don't gather in a task.
     """
-    pairs = edges.where("a is not null and b is not null").select("a", "b").distinct()
+    # Written, since both directions read it and its own making may be costly.
+    pairs = written(edges.where("a is not null and b is not null").select("a", "b").distinct(), "cc-pairs")
     both = written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     label = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-label")
     for _ in range(most_rounds):
