@@ -292,7 +292,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = written(found.join(classes, found["node"] == classes["key"]).select("key", "label", "rep", "n"), "join-groups")
     sized = found.join(found.groupBy("label").agg(F.count("*").alias("size")), "label")
-    brought = sized.join(docs.withColumnRenamed("doc_id", "rep").withColumn("text_key", F.unhex(F.md5("text"))), "rep").where("key = text_key").dropDuplicates(["key"])
+    # The same join at every size: neither side has a bound, so neither is broadcast.
+    brought = sized.hint("merge").join(docs.withColumnRenamed("doc_id", "rep").withColumn("text_key", F.unhex(F.md5("text"))), "rep").where("key = text_key").dropDuplicates(["key"])
     brought = _grid(brought, "size", block).select("label", "bi", "bj", "chunk", "key", "n", "text")
     brought = brought.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
     links = written(brought.mapInArrow(_verify(shingle, threshold, bands * rows, fewest), "a binary, b binary, links long"), "join-links")
