@@ -18,7 +18,7 @@ def unpack_vector(packed: pd.Series) -> pd.Series:
     return packed.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_vector(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 

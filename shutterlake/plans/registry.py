@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import table
 
-def oracle_sql() -> dict:
-    return {}
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+class Tables:
+    """The driver's tables by name, read when they are asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        _queries[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import library, search  # noqa: F401
+
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(_sql)
