@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import Texts, Words, grams, slices
+from .kernels import Texts, Words, frugal, grams, slices
 
 WINDOW, MOST_WINDOWS = 13, 4_000_000
 BITS = 20
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
     kinds = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()))
     fields = T.StructType([*docs.select(*keep).schema, *[T.StructField(n, k) for n, k in zip(("_n_words", "_spans", "_items"), kinds)]])
     if len(parts) == 1:
-        return docs.select(*keep, text_col).mapInArrow(_scan(spark.sparkContext.broadcast(item_windows(parts[0], size))), fields)
+        return docs.select(*keep, text_col).mapInArrow(frugal(_scan(spark.sparkContext.broadcast(item_windows(parts[0], size)))), fields)
     # One pass for each part, each handing the text on; then what a row's passes found is united.
     out = docs.select(*keep, text_col)
     for k, one in enumerate(parts):

@@ -6,6 +6,7 @@ slices of about ``SLICE_BYTES``, which bounds the temporary arrays (one text lon
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Longest token that is hashed byte by byte in step with all others; the rest of a longer one is hashed on its own.
 IN_STEP = 64
 FNV_OFFSET, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
@@ -153,5 +154,19 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def strings(items: list) -> pa.Array:
-    return pa.array(items, pa.string())
+def frugal(run):
+    """``run``, a function of Arrow batches, after which its worker hands freed memory back to the system.
+
+    Workers are used again for later tasks; without this each keeps what its largest task took.
+    """
+
+    def both(batches):
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return both

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix, slices
+from .kernels import frugal, mix, slices
 
 ORDER, SAMPLE, MOST_GRAMS, SIGMAS, FOLDS = 4, 1500, 300_000, 8.0, 5
 UNDETERMINED = "und"
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, most_grams: i
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(max(1, int(1_000_000 * min(1.0, sample / n)))))])
     chosen = labelled.where(draw < share[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(20)) == 0)
-    counted = chosen.where("not calibrates").mapInArrow(_count(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.where("not calibrates").mapInArrow(frugal(_count(order)), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     counts = {}
@@ -321,7 +321,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
         return kept.drop("_text").withColumns({"_lang": F.lit(UNDETERMINED), "_score": F.lit(0.0), "_rejected": F.lit(True)})
     schema = kept.drop("_text").withColumns({"_lang": F.lit(""), "_score": F.lit(0.0), "_rejected": F.lit(True)}).schema
     handle = docs.sparkSession.sparkContext.broadcast(model)
-    return kept.mapInArrow(_predict(handle, len(keep)), schema)
+    return kept.mapInArrow(frugal(_predict(handle, len(keep))), schema)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

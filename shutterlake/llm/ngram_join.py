@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kernels import Words, mix, shingles, slices
+from .kernels import Words, frugal, mix, shingles, slices
 from .shared import written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK = 5, 0.8, 32, 4, 1e-6, 1024
@@ -278,7 +278,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fewest = least_matches(threshold, tolerance, bands * rows)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    table = written(keyed.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, key binary, bands array<long>, signature binary"), "join-sketch")
+    table = written(keyed.mapInArrow(frugal(_sketch(shingle, bands, rows)), "doc_id long, key binary, bands array<long>, signature binary"), "join-sketch")
 
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     sketch = table.where("signature is not null").select("key", "bands", "signature").dropDuplicates(["key"])
@@ -288,7 +288,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = banded.join(full, "bucket").join(sketch.select("key", "signature"), "key")
     met = _grid(met, "size", block).select("bucket", "bi", "bj", "chunk", "key", "signature")
     met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    found = components(met.mapInArrow(_prune(bands, rows, fewest), "a binary, b binary"))
+    found = components(met.mapInArrow(frugal(_prune(bands, rows, fewest)), "a binary, b binary"))
 
     found = written(found.join(classes, found["node"] == classes["key"]).select("key", "label", "rep", "n"), "join-groups")
     sized = found.join(found.groupBy("label").agg(F.count("*").alias("size")), "label")
@@ -296,7 +296,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     brought = sized.hint("merge").join(docs.withColumnRenamed("doc_id", "rep").withColumn("text_key", F.unhex(F.md5("text"))), "rep").where("key = text_key").dropDuplicates(["key"])
     brought = _grid(brought, "size", block).select("label", "bi", "bj", "chunk", "key", "n", "text")
     brought = brought.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
-    links = written(brought.mapInArrow(_verify(shingle, threshold, bands * rows, fewest), "a binary, b binary, links long"), "join-links")
+    links = written(brought.mapInArrow(frugal(_verify(shingle, threshold, bands * rows, fewest)), "a binary, b binary, links long"), "join-links")
 
     linked = components(links)
     final = (

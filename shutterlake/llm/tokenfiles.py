@@ -28,14 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import FOLD, Texts, hash_runs, runs, slices
+from .kernels import FOLD, Texts, frugal, hash_runs, runs, slices
 from .shared import fresh
 
 END_ID = 1
 SEEKABLE, SKIPPABLE, IDS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 LEVEL = 1
 #: Units (words, runs of punctuation) whose ids a worker keeps; beyond, it starts anew.
-MOST_UNITS = 1_500_000
+MOST_UNITS = 600_000
 #: Of a table that finds most units again without a search.
 SLOT_BITS = 18
 
@@ -264,7 +264,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     spark = docs.sparkSession
     folder = folder or fresh(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(rows.mapInArrow(_write(folder, tokenizer), "file string, first long, docs long, tokens long").collect(), key=lambda r: (r["first"] is not None, r["first"] or 0))
+    files = sorted(rows.mapInArrow(frugal(_write(folder, tokenizer)), "file string, first long, docs long, tokens long").collect(), key=lambda r: (r["first"] is not None, r["first"] or 0))
     start, out = 0, []
     for r in files:
         out.append((r["file"], r["first"], r["docs"], r["tokens"], start))
