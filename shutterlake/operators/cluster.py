@@ -59,6 +59,8 @@ def greedy(faces: DataFrame, clusters: DataFrame | None, threshold: float = THRE
     def run(batches):
         state = Greedy(seeds, threshold)
         for part in batches:
+            if not len(part):
+                continue
             got = [state.place(np.asarray(v, np.float64)) for v in part["embedding"]]
             yield pd.DataFrame({"id": part["id"], "cluster_id": [g[0] for g in got], "seeded": [g[1] for g in got]})
 
@@ -99,7 +101,8 @@ def _means(assigned: DataFrame, column: str) -> dict[int, np.ndarray]:
         for part in batches:
             for c, own in part.groupby(column):
                 sums[c] = sums.get(c, 0) + np.stack(own["embedding"].to_numpy()).astype(np.float64).sum(axis=0)
-        yield pd.DataFrame({"c": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"c": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     out: dict[int, np.ndarray] = {}
     for r in assigned.select(column, "embedding").mapInPandas(run, "c long, v array<double>").orderBy("c", "v").toLocalIterator():
