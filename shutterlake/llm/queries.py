@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmlcut, langid, linededup, media, mixing, ngram_join, quality, secretscan, tokenfiles
+from . import decontam, htmlcut, langid, linededup, media, mixing, ngram_join, quality, secretscan, sql, tokenfiles
 
 TOKENIZER, VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Queries of this subpackage that SQL can express."""
-    return {}
+    return {"op3_ngram_jaccard_join": sql.JACCARD_JOIN, "op9_decontamination": sql.DECONTAMINATION}

@@ -7,10 +7,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from oracle import compare
 
 from shutterlake.llm import decontam, htmlcut, langid, linededup, media, mixing, ngram_join, quality, secretscan, tokenfiles
 from shutterlake.llm.kernels import Words, slices
-from shutterlake.llm.queries import TOKENIZER, VOCABULARY, public_path
+from shutterlake.llm.queries import TOKENIZER, VOCABULARY, oracle_sql, public_path, queries
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 fold = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
@@ -196,3 +197,8 @@ def test_pipeline(spark, tmp_path):
     assert ids and not ids & {2, 100, 101}
     ordered = sorted(got, key=lambda r: r["start"])
     assert [r["start"] for r in ordered] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in ordered])[:-1]]).tolist()
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_against_sql(spark, name):
+    assert compare(spark, name, queries()[name], oracle_sql()[name], "/root/testdata/sf0.001") is None
