@@ -12,6 +12,7 @@ kind works. Item ids are compared and joined as strings.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import Texts, Words, frugal, grams, slices
+from .kernels import Texts, Words, flag, frugal, grams, slices
 
 WINDOW, MOST_WINDOWS = 13, 4_000_000
 BITS = 20
+WORD_RUN = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def item_windows(items: list[tuple[str, str | None]], size: int) -> dict[int, dict[int, dict[bytes, list[str]]]]:
@@ -65,51 +67,77 @@ def text_hits(texts: Texts, words: Words, sought: list) -> tuple[np.ndarray, dic
     return np.cumsum(cover[:-1]) > 0, items
 
 
-def _scan(handle):
-    ready = []
+def _sought(windows: dict) -> list:
+    """What ``text_hits`` looks up, from what ``item_windows`` returns."""
+    out = []
+    for length, own in sorted(windows.items()):
+        hashes = np.array(sorted(own), np.uint64)
+        bitmap = np.zeros(1 << BITS, bool)
+        bitmap[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        out.append((length, hashes, bitmap, own))
+    return out
+
+
+def _found(sought: list, column) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """(number of words, spans of hit words, items) of a column of texts."""
+    n_words, spans, items = [], [], []
+    for texts in slices(column):
+        words = Words(texts)
+        hit, names = text_hits(texts, words, sought)
+        n_words += words.counts().tolist()
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+        start, end = edge[::2], edge[1::2]
+        own: dict[int, list[int]] = defaultdict(list)
+        # A run of hit words may hold the end of one text and the start of the next.
+        for s, e in zip(start.tolist(), end.tolist()):
+            i = int(np.searchsorted(words.at, s, "right")) - 1
+            while s < e:
+                stop = min(e, int(words.at[i + 1]))
+                if stop > s:
+                    own[i] += [s - int(words.at[i]), stop - int(words.at[i])]
+                s, i = max(s, stop), i + 1
+        spans += [own.get(i, []) for i in range(len(texts))]
+        items += [sorted(names.get(i, ())) for i in range(len(texts))]
+    return n_words, spans, items
+
+
+def _clean(handle):
+    def run(columns):
+        sought = _sought(handle.value)
+        for column in columns:
+            hits = ((n, sum(own[1::2]) - sum(own[::2])) for n, own, _ in zip(*_found(sought, column)))
+            yield pa.array([not (hit > 0 and 20 * hit >= n) for n, hit in hits], pa.bool_())
+
+    return run
+
 
+def _scan(handle):
     def run(batches):
-        if not ready:
-            for length, windows in sorted(handle.value.items()):
-                hashes = np.array(sorted(windows), np.uint64)
-                bitmap = np.zeros(1 << BITS, bool)
-                bitmap[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
-                ready.append((length, hashes, bitmap, windows))
+        sought = _sought(handle.value)
         for batch in batches:
-            n_words, spans, items = [], [], []
-            for texts in slices(batch.column(batch.num_columns - 1)):
-                words = Words(texts)
-                hit, names = text_hits(texts, words, ready)
-                n_words += words.counts().tolist()
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                start, end = edge[::2], edge[1::2]
-                own: dict[int, list[int]] = defaultdict(list)
-                # A run of hit words may hold the end of one text and the start of the next.
-                for s, e in zip(start.tolist(), end.tolist()):
-                    i = int(np.searchsorted(words.at, s, "right")) - 1
-                    while s < e:
-                        stop = min(e, int(words.at[i + 1]))
-                        if stop > s:
-                            own[i] += [s - int(words.at[i]), stop - int(words.at[i])]
-                        s, i = max(s, stop), i + 1
-                spans += [own.get(i, []) for i in range(len(texts))]
-                items += [sorted(names.get(i, ())) for i in range(len(texts))]
+            n_words, spans, items = _found(sought, batch.column(batch.num_columns - 1))
             out = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "_n_words", "_spans", "_items"])
 
     return run
 
 
+def _parts(benchmark: DataFrame, item_col: str, item_text: str, most_windows: int) -> list[list[tuple[str, str | None]]]:
+    """The items in parts that have at most ``most_windows`` windows each, or one item; one empty part if there are none."""
+    parts, room = [[]], most_windows
+    for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
+        most = sum(1 for _ in WORD_RUN.finditer(row["t"] or ""))  # a window starts at a word
+        if most > room and parts[-1]:
+            parts, room = [*parts, []], most_windows
+        parts[-1].append((row["i"] if row["i"] is not None else "", row["t"]))
+        room -= most
+    return parts
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """The columns ``keep`` of every document with n_words, spans (of hit words: start, end, start, ...) and items found."""
     spark = docs.sparkSession
-    parts, part, room = [], [], most_windows
-    for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        part.append((row["i"] if row["i"] is not None else "", row["t"]))
-        room -= 1 + (row["t"] or "").count(" ")
-        if room <= 0:
-            parts, part, room = [*parts, part], [], most_windows
-    parts = [*parts, part] if part or not parts else parts
+    parts = _parts(benchmark, item_col, item_text, most_windows)
     kinds = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()))
     fields = T.StructType([*docs.select(*keep).schema, *[T.StructField(n, k) for n, k in zip(("_n_words", "_spans", "_items"), kinds)]])
     if len(parts) == 1:
@@ -161,6 +189,10 @@ def _contaminated():
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, unchanged."""
+    size, most = options.get("size", WINDOW), options.get("most_windows", MOST_WINDOWS)
+    parts = _parts(benchmark, options.get("item_col", "item_id"), options.get("item_text", "text"), most)
+    if len(parts) == 1:
+        return docs.where(flag(_clean(docs.sparkSession.sparkContext.broadcast(item_windows(parts[0], size))))("text"))
     named = docs.withColumn("_text", F.col("text"))
     return scan(named, benchmark, docs.columns, text_col="_text", **options).where(~_contaminated()).select(*docs.columns)
 

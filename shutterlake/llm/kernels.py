@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
 #: Longest token that is hashed byte by byte in step with all others; the rest of a longer one is hashed on its own.
@@ -164,9 +165,23 @@ def frugal(run):
         try:
             yield from run(batches)
         finally:
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
             except (OSError, AttributeError):  # another C library
                 pass
 
     return both
+
+
+def flag(run):
+    """A Column function of a text column that is true or false, from ``run``, a function of Arrow arrays of texts.
+
+    Only the texts go to Python and only the flags come back; the rows stay in the JVM.
+    """
+    own = frugal(run)
+
+    def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from own(columns)
+
+    return F.arrow_udf(both, "boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import frugal, mix, slices
+from .kernels import flag, frugal, mix, slices
 
 ORDER, SAMPLE, MOST_GRAMS, SIGMAS, FOLDS = 4, 1500, 300_000, 8.0, 5
 UNDETERMINED = "und"
@@ -293,22 +293,37 @@ def _calibrate(model: Model, table: pa.Table) -> None:
         model.each[j] = max(3.0, float(np.sqrt(np.mean(m * (h - model.mean[j]) ** 2))))
 
 
+def _judged(scorer: Scorer, column) -> tuple[list[str], list[float], list[bool]]:
+    """(language, score, rejected) of a column of texts."""
+    model = scorer.model
+    preds, scores, rejected = [], [], []
+    for texts in slices(column):
+        n, bits = scorer.score(texts)
+        best = bits.argmin(axis=1)
+        low = bits[np.arange(len(n)), best]
+        weight = np.minimum(n, EVIDENCE) / 4.0
+        score = 1.0 / np.exp2(-(bits - low[:, None]) * weight[:, None]).sum(axis=1)
+        far = low > model.mean[best] + SIGMAS * np.sqrt(model.spread[best] ** 2 + model.each[best] ** 2 / np.maximum(n, 1))
+        preds += [model.langs[b] if m else UNDETERMINED for b, m in zip(best.tolist(), n.tolist())]
+        scores += np.where(n > 0, score, 0.0).tolist()
+        rejected += ((n == 0) | far).tolist()
+    return preds, scores, rejected
+
+
+def _recognised(handle):
+    def run(columns):
+        scorer = Scorer(handle.value)
+        for column in columns:
+            yield pa.array([not x for x in _judged(scorer, column)[2]], pa.bool_())
+
+    return run
+
+
 def _predict(handle, keep: int):
     def run(batches):
-        model = handle.value
-        scorer = Scorer(model)
+        scorer = Scorer(handle.value)
         for batch in batches:
-            preds, scores, rejected = [], [], []
-            for texts in slices(batch.column(batch.num_columns - 1)):
-                n, bits = scorer.score(texts)
-                best = bits.argmin(axis=1)
-                low = bits[np.arange(len(n)), best]
-                weight = np.minimum(n, EVIDENCE) / 4.0
-                score = 1.0 / np.exp2(-(bits - low[:, None]) * weight[:, None]).sum(axis=1)
-                far = low > model.mean[best] + SIGMAS * np.sqrt(model.spread[best] ** 2 + model.each[best] ** 2 / np.maximum(n, 1))
-                preds += [model.langs[b] if m else UNDETERMINED for b, m in zip(best.tolist(), n.tolist())]
-                scores += np.where(n > 0, score, 0.0).tolist()
-                rejected += ((n == 0) | far).tolist()
+            preds, scores, rejected = _judged(scorer, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(keep)], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:keep], "_lang", "_score", "_rejected"])
 
     return run
@@ -333,4 +348,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, **options) -> DataFrame:
     """The documents whose language is recognised, unchanged."""
-    return predict(docs, fit(docs, **options), docs.columns).where("not _rejected").select(*docs.columns)
+    model = fit(docs, **options)
+    if model is None:
+        return docs.where(F.lit(False))
+    return docs.where(flag(_recognised(docs.sparkSession.sparkContext.broadcast(model)))("text"))
