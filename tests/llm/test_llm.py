@@ -75,6 +75,7 @@ def test_decontamination(spark, docs, none):
     assert sorted(map(tuple, decontam.report(docs, bench, most_windows=2).collect())) == sorted(map(tuple, decontam.report(docs, bench).collect()))
     left = decontam.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 8, 9]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench, most_windows=2).collect()) == [4, 5, 6, 8, 9]
     cut = {r["doc_id"]: r["text"] for r in decontam.remove_spans(docs, bench).collect()}
     assert cut[7] == "" and cut[1] == "alpha beta gamma  tau upsilon phi chi psi omega" and cut[4] is None and cut[6] == "... !!"
     assert decontam.report(none, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -142,6 +143,20 @@ def test_token_files(docs, none):
     assert tokenfiles.read_tokens(tokenfiles.write_tokens(none, public_path(TOKENIZER))).count() == 0
 
 
+def test_units_encode_like_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    pool = [*"abzABZ019 .,;!?'\"<>|-_/@#\n\t\x0b\x0c\x00\x1c\x7fé\xc9\xdf\xd7\xf7\xff\xaa\xba\xb5\xb2\xbd\xa1\xa0\x85\xad€Łıİſ\u212aΣςあ漢\u200b\u3000\u2028\u0301ﬁ\U0001f600", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "don't", "  "]
+    rng = np.random.default_rng(3)
+    texts = ["".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 40))) for _ in range(5000)]
+    own, whole = tokenfiles.UnitEncoder(public_path(TOKENIZER)), Tokenizer.from_file(public_path(TOKENIZER))
+    got = []
+    for part in slices(pa.array(texts)):
+        ids, at = own.encode(part)
+        got += [ids[at[i] : at[i + 1]].tolist() for i in range(len(part))]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_line_dedup(spark, none):
     block = "\n".join(f"line {k} of a block with quite a few words in it" for k in range(4))
     rows = [(1, f"one\n{block}\ntail"), (2, f"other\n{block}\nmore"), (3, f"one\n{block}\ntail"), (4, "one\nshort"), (5, None)]
