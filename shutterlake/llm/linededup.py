@@ -1,8 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through the hashes of their lines: a rare line (in at most ``rare`` documents) pairs each of
-its documents with every earlier one; a more frequent line pairs each of its documents with the first that has it, so that no
-line is left out and pairs stay in proportion to lines. Each pair is aligned by patience diff on the line hashes (unique common
+Documents that overlap are found through the hashes of their runs of lines that reach ``least_words`` words and would not without
+their last, or without their first, line (at most two for each line). Every line of a common block of so many words lies in such a
+run inside the block: the run from the block's first line on, or beyond it the run that ends with the line. A rare run (in at most
+``rare`` documents) pairs each of its documents with every earlier one; a more frequent run pairs each of its documents with the
+first that has it, and with the first that has it as often, so that pairs stay in proportion to lines. Where that leaves a
+frequent run standing (the first document has it in another order), the document is paired with all earlier ones that have the run;
+the result is that of all pairs. Each pair is aligned by patience diff on the line hashes (unique common
 lines, longest increasing chain, then the same between the anchors, equal lines next to anchors included). Aligned common
 blocks of at least ``least_words`` words are deleted from the later document. A hash of 128 bits stands for a line.
 
@@ -18,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +48,62 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(texts.first, len(texts)).cast(pa.int64()), pa.array(lines, schema.field(1).type), pa.array(words, schema.field(2).type)], schema=schema)
 
 
+def least_runs(lines: list, words: list[int], least_words: int) -> dict[bytes, list[list[int]]]:
+    """The places of each run of lines with at least so many words that has fewer without its last, or without its first, line; None is no line."""
+    full = [k for k, h in enumerate(lines) if h is not None]
+    total = [0, *accumulate(words[k] for k in full)]
+    spans, lo, hi = set(), 0, 0
+    for k in range(len(full)):
+        while hi < len(full) and (hi <= k or total[hi] - total[k] < least_words):
+            hi += 1
+        if total[hi] - total[k] >= least_words:
+            spans.add((k, hi))
+        while lo < k and total[k + 1] - total[lo + 1] >= least_words:
+            lo += 1
+        if total[k + 1] - total[lo] >= least_words:
+            spans.add((lo, k + 1))
+    out: dict[bytes, list[list[int]]] = {}
+    for i, j in sorted(spans):
+        out.setdefault(b"".join(lines[x] for x in full[i:j]), []).append(full[i:j])
+    return out
+
+
+def _key(run: bytes, time: int = 0) -> int:
+    return xxhash.xxh64_intdigest(run, time) - (1 << 63)
+
+
+def _runs(least_words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("run", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            ids, own = [], []
+            for doc, lines, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "words"))):
+                found = [_key(x, k) for x, places in least_runs(lines, words, least_words).items() for k in range(len(places))]
+                ids += [doc] * len(found)
+                own += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64())], schema=schema)
+
+    return run
+
+
+def _standing(least_words: int):
+    """Those of the column ``runs`` that stand somewhere in a document with a line that is not in ``gone``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("run", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            ids, own = [], []
+            for doc, lines, words, runs, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "words", "runs", "gone"))):
+                runs, gone = set(runs), set(gone or ())
+                found = [_key(x) for x, places in least_runs(lines, words, least_words).items() if _key(x) in runs and not all(gone.issuperset(p) for p in places)]
+                ids += [doc] * len(found)
+                own += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64())], schema=schema)
+
+    return run
+
+
 def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of pairs that rise in both places; pairs are sorted by the first."""
     tails, at, back = [], [], [-1] * len(pairs)
@@ -130,17 +192,29 @@ def common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WOR
     """doc_id, n_lines and gone (the numbers of the lines to delete, from 0) for every document."""
     lined = docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, lines array<binary>, words array<int>")
     table = written(lined.withColumn("row", F.monotonically_increasing_id()), "lines")  # written once, so the row ids stay
-    each = table.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null").distinct()
-    often = each.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).where("docs > 1")
-    met = written(each.join(often, "line").select("line", "doc_id", "first", "docs"), "lines-met")
-    few = met.where(F.col("docs") <= rare).groupBy("line").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    each = table.where("doc_id is not null").select("doc_id", "lines", "words").mapInArrow(_runs(least_words), "doc_id long, run long")
+    each = written(each.distinct(), "lines-runs")
+    often = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).where("docs > 1")
+    met = written(each.join(often, "run").select("run", "doc_id", "first", "docs"), "lines-met")
+    few = met.where(F.col("docs") <= rare).groupBy("run").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     near = few.select(F.posexplode("ids").alias("at", "doc_id"), "ids").where("at > 0").select("doc_id", F.explode(F.slice("ids", F.lit(1), F.col("at"))).alias("first"))
     far = met.where((F.col("docs") > rare) & (F.col("doc_id") > F.col("first"))).select("doc_id", "first")
-    pairs = near.union(far).distinct()
-    first = table.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))
-    both = pairs.join(first, "first").join(table.select("doc_id", "row", "lines", "words"), "doc_id").select("row", "first_lines", "lines", "words")
-    gone = both.mapInArrow(_align(least_words), "row long, gone array<int>")
-    gone = gone.select("row", F.explode("gone").alias("g")).groupBy("row").agg(F.sort_array(F.collect_set("g")).alias("gone"))
+    pairs = written(near.union(far).distinct(), "lines-pairs")
+
+    def aligned(some: DataFrame) -> DataFrame:
+        first = table.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))
+        both = some.join(first, "first").join(table.select("doc_id", "row", "lines", "words"), "doc_id").select("row", "first_lines", "lines", "words")
+        return both.mapInArrow(_align(least_words), "row long, gone array<int>")
+
+    def united(found: DataFrame) -> DataFrame:
+        return found.select("row", F.explode("gone").alias("g")).groupBy("row").agg(F.sort_array(F.collect_set("g")).alias("gone"))
+
+    gone = written(united(aligned(pairs)), "lines-gone")
+    often = met.where(F.col("docs") > rare)
+    runs = often.where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    left = table.join(runs, "doc_id").join(gone, "row", "left").select("doc_id", "lines", "words", "runs", "gone").mapInArrow(_standing(least_words), "doc_id long, run long")
+    more = left.join(often.select("run", F.col("doc_id").alias("first")), "run").where("first < doc_id").select("doc_id", "first").distinct().join(pairs, ["doc_id", "first"], "left_anti")
+    gone = united(gone.union(aligned(more)))
     return table.join(gone, "row", "left").select("doc_id", "row", F.size("lines").cast("long").alias("n_lines"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"), "words", "lines")
 
 

@@ -168,6 +168,18 @@ def test_line_dedup(spark, none):
     assert linededup.patience(list("abcde"), list("xbcdy")) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_line_dedup_pairs_on_runs(spark):
+    block = ["eight words stand in this line as first", "and twelve words stand in this other line that is the second", "short tail"]
+    rows = [(k, f"{line}\nonly {k}") for k, line in enumerate(block)]  # each line occurs alone first
+    rows += [(k, "\n".join([f"head {k}", *block[: 2 + k % 2], f"end {k}"])) for k in range(10, 40)]
+    got = {r["doc_id"]: r["removed"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {r[0]: "" if r[0] < 11 else "1,2" if r[0] % 2 == 0 or r[0] == 11 else "1,2,3" for r in rows}
+    p, q = ("\n".join(f"{name} {k} is one line of a block that many documents have" for k in range(2)) for name in "pq")
+    rows = [(0, f"{p}\n{q}"), (1, p), *((k, f"{q}\n{p}") for k in range(2, 20))]  # in another order than in the first
+    got = [linededup.report(spark.createDataFrame(rows, "doc_id long, text string"), rare=r).collect() for r in (8, 1000)]
+    assert [{r["doc_id"]: r["n_removed"] for r in g} for g in got] == [{0: 0, 1: 2} | {k: 4 for k in range(2, 20)}] * 2
+
+
 def test_media(docs, none):
     got = {r["doc_id"]: r for r in media.report(docs).collect()}
     for row in ROWS:
