@@ -3,8 +3,9 @@
 The patterns give the base kinds ``assign``, ``access`` and ``hex``. The test adds the kind ``random``: a run of at least
 ``least_run`` characters of the base64 alphabets that mixes letters and digits, and for which a byte-level vocabulary needs so
 many tokens that there are fewer than ``most_chars_per_token`` characters for each. Text that people write is in the vocabulary
-in long pieces; random strings are not. Left out are known digests (hexadecimal of a digest's length), UUIDs, numbers, parts of
-addresses, and what a base span covers already.
+in long pieces; random strings are not. Dots end a run, so the segments of a dotted token are tested one by one; in the path of a URL
+each segment of that length is tested on its own. Left out are known digests (hexadecimal of a digest's length), UUIDs, numbers, mail
+addresses, the host part of a URL, and what a base span covers already.
 
 Defined results: a null text counts as empty and has no spans; spans are in code points, end exclusive, ordered by start and
 then kind as listed in KINDS; repeated rows each get a result; other columns are ignored; an empty table gives no rows.
@@ -30,6 +31,10 @@ NAMES = (b"passw", b"secret", b"token", b"api")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 LEAST_RUN, MOST_CHARS_PER_TOKEN = 20, 2.4
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+URL = re.compile(rb"(?<=[A-Za-z])://(?:[^\s/@?#]*@)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)([^\s\"'<>?#]*)")
+DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
+TOP_PATH = re.compile(rb"[a-z]{2,24}/")  # the end of a host name without a scheme, and its path
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 _b = np.arange(256)
@@ -56,6 +61,41 @@ def is_random(run: str, encode, most: float) -> bool:
     return len(run) < most * len(encode(run))
 
 
+def addresses(raw: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(what no test takes: mail addresses and hosts of URLs; the paths of URLs), in bytes."""
+    out, paths, taken, last = [], [], [], 0
+    for m in URL.finditer(raw):
+        out.append(m.span(1))
+        paths.append(m.span(2))
+        taken.append((m.start(), m.end(1)))
+    for m in DOMAIN.finditer(raw):
+        start = last + len(raw[last : m.start()].rstrip(LOCAL))
+        if start < m.start() and not any(s < m.end() and start < e for s, e in taken):
+            out.append((start, m.end()))
+        last = m.end()
+    return sorted(out), paths
+
+
+def candidates(raw: bytes, start: int, end: int, out: list[tuple[int, int]], paths: list[tuple[int, int]], least_run: int) -> list[list[tuple[int, int]]]:
+    """Parts of the run raw[start:end] to test, in bytes: of each list those that are random count, and the next list only if none is."""
+    pieces, lo = [], start
+    for s, e in out:
+        if s < end and lo < e:
+            pieces.append((lo, s))
+            lo = max(lo, e)
+    pieces.append((lo, end))
+    before, after = raw[max(0, start - 1) : start], raw[end : end + 1]
+    apart = before in (b"@", b".") or after == b"@"
+    path = any(s < end and start < e for s, e in paths)
+    whole = [(start, end)] if path and not apart else [(a, b) for a, b in pieces if b - a >= least_run]
+    if not apart and not path:
+        return [whole]
+    segments = [(a + m.start(), a + m.end()) for a, b in pieces if a < b for m in re.finditer(rb"[^/]+", raw[a:b])]
+    segments = [(a, b) for a, b in segments if b - a >= least_run]
+    hosted = path or (before == b"." and TOP_PATH.match(raw, start, end))
+    return [segments] if hosted and apart else [segments, whole]
+
+
 def encoder(path: str):
     import public_tokenizers
     import tiktoken
@@ -91,19 +131,20 @@ def _scan(path: str, least_run: int, most: float):
                 for i in range(len(texts)):
                     spans = base_spans(texts.text(i)) if maybe[i] else []
                     base = list(spans)
+                    if lo[i] < hi[i]:
+                        raw = texts.bytes(i)
+                        known = addresses(raw)
                     for k in range(lo[i], hi[i]):
-                        start = int(rs[k] - texts.at[i])
-                        word = texts.buf[rs[k] : re_[k]].tobytes().decode()
-                        before = texts.buf[max(texts.at[i], rs[k] - 1) : rs[k]].tobytes()
-                        after = texts.buf[re_[k] : min(texts.at[i + 1], re_[k] + 1)].tobytes()
-                        if before in (b"@", b".") or after == b"@":  # of an address
-                            continue
-                        if not ready:
-                            ready.append(encoder(path))
-                        if is_random(word, ready[0], most):
-                            at = len(texts.bytes(i)[:start].decode("utf-8", "replace"))
-                            if not any(s < at + len(word) and at < e for s, _, e in base):
-                                spans.append((at, 3, at + len(word)))
+                        for parts in candidates(raw, int(rs[k] - texts.at[i]), int(re_[k] - texts.at[i]), *known, least_run):
+                            if not ready:
+                                ready.append(encoder(path))
+                            parts = [(s, e) for s, e in parts if is_random(raw[s:e].decode(), ready[0], most)]
+                            for start, end in parts:
+                                at = len(raw[:start].decode("utf-8", "replace"))
+                                if not any(s < at + end - start and at < e for s, _, e in base):
+                                    spans.append((at, 3, at + end - start))
+                            if parts:
+                                break
                     spans.sort()
                     counts = [sum(1 for s in spans if s[1] == k) for k in range(len(KINDS))]
                     say = lambda part: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in part)

@@ -111,6 +111,28 @@ def test_secrets(docs, none):
     assert secretscan.is_random("q7Zk2xV9pLw4Rt8Yb3Nc6M", encode, 2.4) and not secretscan.is_random("d41d8cd98f00b204e9800998ecf8427e", encode, 2.4)
 
 
+def test_secrets_beside_dots(spark):
+    one, two, key = "q7Zk2xV9pLw4Rt8Yb3Nc6M", "Hx93kQzV0bTy7LmW2sJd5R", "wF8vK1nXq4Ze7Bt2Uc9Ja5Lr"
+    cases = [
+        (f"see https://www.example.com/download/the/files/{one}/index.html now", [one]),
+        (f"see example.com/download/{one}", [one]),
+        (f"é {one}.{two}.{key}", [one, two, key]),
+        (f"SG.{one}.{two}", [one, two]),
+        (f"https://user:{one}@host.example.com:8080/words/{two}", [one, two]),
+        (f"https://localhost/download/the/files/of/the/library/{one}", [one]),
+        (f"write to {one}@example.com or to a@{two}.example.com", []),
+        (f"https://{one}.example.com/a and https://cdn.{two}.net/library", []),
+        (f"mail a@example.com/{one} and {two}@ home", [one, two]),
+        ("https://www.example.com/2024/11/26/15/54/07/a/b1", []),
+        ("https://www.example.com/the/story/of/the/lake-and-the-shutter-in-autumn/2024", []),
+        (one, [one]),
+    ]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secretscan.scan_secrets(df, public_path(VOCABULARY)).collect()}
+    cut = {k: [text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in got[k].split(",") if x) if kind == "random"] for k, (text, _) in enumerate(cases)}
+    assert cut == {k: found for k, (_, found) in enumerate(cases)}
+
+
 def test_mix(spark, docs, none):
     assert mixing.targets({"a": 100, "b": 10, None: 1}) == {"a": 78.0, "b": 30.0, None: 3.0}
     rows = [(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(3000)]
