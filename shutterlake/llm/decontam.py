@@ -169,8 +169,14 @@ def _words_of(col: str):
 
 
 def _as_spans(words):
-    """Start and end of each position; a run of words is then a list of touching spans."""
-    return F.flatten(F.transform(words, lambda x: F.array(x, x + 1)))
+    """Start and end of each run of positions, which rise; the array of one element keeps ``words`` from being computed anew for each word."""
+
+    def spans(w):
+        starts = F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) < x - 1, F.lit(True)))
+        ends = F.filter(w, lambda x, i: F.coalesce(F.get(w, i + 1) > x + 1, F.lit(True)))
+        return F.flatten(F.zip_with(starts, ends, lambda s, e: F.array(s, e + 1)))
+
+    return F.get(F.transform(F.array(words), spans), F.lit(0))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -81,6 +81,12 @@ def test_decontamination(spark, docs, none):
     assert decontam.report(none, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_remove_spans_in_parts(spark, docs):
+    bench = spark.createDataFrame([(1, " ".join(LONG.split()[3:18])), (2, "nur DREI wörter"), (3, " ".join(LONG.split()[10:23]))], "item_id long, text string")
+    one, parts = ({(r["doc_id"], r["text"]) for r in decontam.remove_spans(docs, bench, **o).collect()} for o in ({}, {"most_windows": 2}))
+    assert one == parts and (7, "") in parts and (1, "alpha beta gamma  omega") in parts
+
+
 def test_language(spark, none):
     en, de = "the cat sat on the mat with a hat and that was the end of this", "der hund und die katze sind nicht im haus weil sie draußen spielen"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((en, de)[i % 2].split())), ("en", "de")[i % 2]) for i in range(400)]
