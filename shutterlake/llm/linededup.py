@@ -7,7 +7,8 @@ run inside the block: the run from the block's first line on, or beyond it the r
 first that has it, and with the first that has it as often, so that pairs stay in proportion to lines. Where that leaves a
 frequent run standing (the first document has it in another order), the document is paired with all earlier ones that have the run;
 the result is that of all pairs. Each pair is aligned by patience diff on the line hashes (unique common
-lines, longest increasing chain, then the same between the anchors, equal lines next to anchors included). Aligned common
+lines, longest increasing chain, then the same between the anchors, equal lines next to anchors included; where no common line is
+unique, the longest common block is the anchor). Aligned common
 blocks of at least ``least_words`` words are deleted from the later document. A hash of 128 bits stands for a line.
 
 The earlier document is the one with the lower doc_id; since it is the original text that is aligned, what is deleted
@@ -122,6 +123,46 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def longest_block(a: list, b: list) -> tuple[int, int, int]:
+    """Where the longest common block begins in a and in b (the first such end in b), and its length; by a's suffix automaton."""
+    step, link, size, end = [{}], [-1], [0], [0]
+    last = 0
+    for k, x in enumerate(a):
+        new, p = len(size), last
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(k + 1)
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if size[q] > size[p] + 1:
+                copy = len(size)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                end.append(end[q])
+                link[q] = copy
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                q = copy
+            link[new] = q
+        last = new
+    best, at, n = (0, 0, 0), 0, 0
+    for k, x in enumerate(b):
+        while at and x not in step[at]:
+            at = link[at]
+            n = size[at]
+        if x in step[at]:
+            at, n = step[at][x], n + 1
+            if n > best[2]:
+                best = (end[at] - n, k + 1 - n, n)
+    return best
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of aligned equal lines, rising in both; None is no line."""
     out: list[tuple[int, int]] = []
@@ -144,6 +185,11 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             if b[j] is not None and b[j] in once_a:
                 once_b[b[j]] = -1 if b[j] in once_b else j
         anchors = chain(sorted((once_a[h], j) for h, j in once_b.items() if j >= 0 and once_a[h] >= 0))
+        if not anchors:
+            full_a = [i for i in range(alo, ahi) if a[i] is not None]
+            full_b = [j for j in range(blo, bhi) if b[j] is not None]
+            i, j, n = longest_block([a[x] for x in full_a], [b[x] for x in full_b]) if once_b else (0, 0, 0)
+            anchors = list(zip(full_a[i : i + n], full_b[j : j + n]))
         if not anchors:
             continue
         i0, j0 = alo, blo

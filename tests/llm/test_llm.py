@@ -208,6 +208,19 @@ def test_line_dedup_pairs_on_runs(spark):
     assert [{r["doc_id"]: r["n_removed"] for r in g} for g in got] == [{0: 0, 1: 2} | {k: 4 for k in range(2, 20)}] * 2
 
 
+def test_line_dedup_without_unique_lines():
+    p = [f"p{k}" for k in range(3)]
+    for a, b in ((["x", *p, "y", *p, "z"], ["u", *p, "v"]), (["u", *p, "v"], ["x", *p, "y", *p, "z"])):
+        got = linededup.doomed(a, b, [8] * len(b), 20)
+        assert [b[j] for j in got] == p
+    assert linededup.doomed(["x", *p, "y", "p2", "z"], ["u", "p0", None, "p1", "p2", "v", "p2", "w"], [8, 8, 0, 8, 8, 8, 8, 8], 20) == [1, 3, 4]
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (rng.integers(0, 3, rng.integers(0, 12)).tolist() for _ in range(2))
+        i, j, n = linededup.longest_block(a, b)
+        assert a[i : i + n] == b[j : j + n] and n == max((m for m in range(13) for x in range(len(a) - m + 1) for y in range(len(b) - m + 1) if a[x : x + m] == b[y : y + m]), default=0)
+
+
 def test_media(docs, none):
     got = {r["doc_id"]: r for r in media.report(docs).collect()}
     for row in ROWS:
