@@ -3,15 +3,19 @@
 Texts are read as lower-case letters with single spaces between words; all else counts as a space. For each language the model
 holds, in sorted hash arrays, the discounted probability of each n-gram and the interpolation weight of each context. A text
 gets the language with the lowest cross-entropy per character. A text is rejected if even that cross-entropy is above what the
-calibration documents of that language show for their length (mean plus ``SIGMAS`` deviations).
+calibration documents of that language show for their length (mean plus ``SIGMAS`` deviations). Every text is scored behind
+``order - 1`` spaces of its own and summed in whole numbers, so its result depends on nothing but the text and the model.
 
 Fitting uses a bounded sample: all labelled documents if a language has at most ``sample`` of them, else about ``sample``,
-chosen by a hash of doc_id; they are used whole. A twentieth of the sample calibrates and is not counted. The tables keep the
-``most_grams`` most frequent n-grams of the highest order of each language, so that what is broadcast is bounded.
+chosen by a hash of doc_id; they are used whole. Each language is fitted by a task of its own, from all n-grams of its sample.
+A twentieth of the sample calibrates and is not counted, but for languages with fewer than ``LEAST_CALIBRATED`` documents, which
+are counted whole; a language without calibration documents is rejected above the entropy of its alphabet. What is broadcast
+is bounded: of the fitted model, the ``most_grams`` most frequent n-grams of the highest order of each language are stored, and
+the probability of the others goes to the next lower order of their context, so that probabilities still sum to one.
 
 Defined results: a null text, or one without letters, gets ``und``, score 0 and is rejected; a null language is not learned;
-equal cross-entropies go to the language that sorts first; repeated rows get a result each; other columns are ignored; with no
-labelled documents every text gets ``und``.
+equal cross-entropies go to the language that sorts first; repeated rows get equal results each; a very long text is scored whole,
+as a slice of its own; other columns are ignored, whatever their names; with no labelled documents every text gets ``und``.
 """
 
 from __future__ import annotations
@@ -24,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import flag, frugal, mix, slices
+from .kernels import Texts, flag, frugal, mix, slices
 
 ORDER, SAMPLE, MOST_GRAMS, SIGMAS, FOLDS = 4, 1500, 300_000, 8.0, 5
+LEAST_CALIBRATED = 40
 UNDETERMINED = "und"
 #: Characters beyond this count as evidence that doesn't raise the score further.
 EVIDENCE = 200
 CACHE_BITS = 18
+#: Parts of a bit in which the cost of a character is summed.
+PARTS = 1 << 28
 
 _letters: list[np.ndarray] = []
 
@@ -50,21 +57,25 @@ def letter_table() -> np.ndarray:
 
 
 class Letters:
-    """The letters of a slice of texts, each text between spaces: ``char[at[i]:at[i + 1]]`` starts with a space (0)."""
+    """The letters of a slice of texts, each behind ``pad`` spaces (0) of its own: those of text i are ``char[at[i]:at[i + 1]]``."""
 
-    def __init__(self, texts):
-        # A zero byte between texts keeps them apart; zero bytes of their own are spaces all the same.
-        n = np.diff(texts.at)
-        spaced = np.zeros(len(texts.buf) + len(texts), np.uint8)
-        spaced[np.repeat(np.arange(1, len(texts) + 1), n) + np.arange(len(texts.buf))] = texts.buf
+    def __init__(self, texts, pad: int = 1):
+        # Zero bytes between texts keep them apart; zero bytes of their own are spaces all the same.
+        places = np.arange(len(texts) + 1) * pad
+        spaced = np.zeros(len(texts.buf) + int(places[-1]), np.uint8)
+        spaced[np.repeat(places[1:], np.diff(texts.at)) + np.arange(len(texts.buf))] = texts.buf
         points = np.frombuffer(spaced.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         # Where each text starts, in code points: bytes that don't continue a character.
-        lead = (spaced & 0xC0) != 0x80
-        begin = np.concatenate([[0], np.cumsum(lead)])[texts.at + np.arange(len(texts) + 1)]
+        lead = np.concatenate([[0], np.cumsum((spaced & 0xC0) != 0x80)])
+        if lead[-1] != len(points):  # bytes that are not UTF-8: each text is decoded on its own
+            clean = [texts.text(i).encode("utf-8", "replace") for i in range(len(texts))]
+            self.__init__(Texts(texts.first, np.frombuffer(b"".join(clean), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in clean])])), pad)
+            return
+        begin = lead[texts.at + places]
         char = letter_table()[points]
         keep = np.ones(len(char), bool)
         keep[1:] = (char[1:] != 0) | (char[:-1] != 0)
-        keep[begin[:-1]] = True
+        keep[(begin[:-1, None] + np.arange(pad)).ravel()] = True
         self.char = char[keep]
         self.at = np.concatenate([[0], np.cumsum(keep)])[begin]
 
@@ -97,18 +108,12 @@ def _count(order: int):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for texts in slices(batch.column("text")):
-                x = Letters(texts)
-                whole = np.zeros((len(x.char), order), np.uint32)
-                for k in range(order):
-                    whole[k:, order - 1 - k] = x.char[: len(x.char) - k]
+                x = Letters(texts, order - 1)
+                whole = np.stack([np.concatenate([np.zeros(order - 1 - k, np.uint32), x.char[: len(x.char) - (order - 1 - k)]]) for k in range(order)], axis=1)
                 own = np.array([langs[texts.first + i] or "" for i in range(len(texts))])
                 for lang in np.unique(own):
-                    rows = np.concatenate([np.arange(x.at[i] + 1, x.at[i + 1]) for i in np.flatnonzero(own == lang)] or [np.zeros(0, np.int64)])
-                    # The first characters of a text have the texts' own spaces before them only.
-                    grams = whole[rows]
-                    start = np.concatenate([np.arange(x.at[i + 1] - x.at[i] - 1) for i in np.flatnonzero(own == lang)] or [np.zeros(0, np.int64)])
-                    for k in range(1, order):
-                        grams[start < k, order - 1 - k] = 0
+                    # The spaces before a text are given, not counted.
+                    grams = whole[np.concatenate([np.arange(x.at[i] + order - 1, x.at[i + 1]) for i in np.flatnonzero(own == lang)])]
                     if len(grams):
                         unique, n = np.unique(np.ascontiguousarray(grams).view(f"V{4 * order}").ravel(), return_counts=True)
                         mine = counts[str(lang)]
@@ -125,15 +130,17 @@ class Model:
     """Sorted hash arrays: for order k, ``grams[k]`` with a column of discounted probabilities for each language, and
     ``contexts[k]`` with the weights that the next lower order gets."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
-        self.langs, self.order = sorted(counts), order
-        per = [self._fit(*counts[lang]) for lang in self.langs]
+    def __init__(self, fitted: dict[str, dict], order: int):
+        self.langs, self.order = sorted(fitted), order
+        per = [fitted[lang] for lang in self.langs]
         self.floor = np.array([p["floor"] for p in per], np.float64)
         self.grams, self.contexts = [], []
         for k in range(order):
             self.grams.append(self._merge([p["grams"][k] for p in per], 0.0))
             self.contexts.append(self._merge([p["contexts"][k] for p in per], 1.0))
-        self.mean, self.spread, self.each = np.zeros(len(self.langs)), np.ones(len(self.langs)), np.ones(len(self.langs))
+        # Until it is calibrated, a language is rejected above the entropy of its alphabet.
+        self.mean = np.array([np.log2(len(p["grams"][0][0]) + 1) for p in per])
+        self.spread, self.each = np.full(len(per), 0.1), np.full(len(per), 3.0)
 
     def _merge(self, tables, missing: float):
         keys = np.unique(np.concatenate([t[0] for t in tables]))
@@ -142,20 +149,28 @@ class Model:
             values[np.searchsorted(keys, k), j] = v
         return keys, values
 
-    def _fit(self, grams: np.ndarray, n: np.ndarray) -> dict:
-        """grams: rows of ``order`` characters, the last one predicted."""
-        order, out = self.order, {"grams": [None] * self.order, "contexts": [None] * self.order}
+    @classmethod
+    def fit(cls, grams: np.ndarray, n: np.ndarray, most_grams: int = MOST_GRAMS) -> dict:
+        """The tables of one language. grams: distinct rows of characters, the last one predicted; n: how often each occurs."""
+        order = grams.shape[1]
+        out = {"grams": [None] * order, "contexts": [None] * order}
         n = n.astype(np.float64)
         for k in range(order, 0, -1):
             ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
             discount = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
-            keys = self._hash(grams)
-            context = self._hash(grams[:, :-1]) if k > 1 else np.zeros(len(grams), np.uint64)
+            keys = cls._hash(grams)
+            context = cls._hash(grams[:, :-1]) if k > 1 else np.zeros(len(grams), np.uint64)
             names, back = np.unique(context, return_inverse=True)
             total, types = np.bincount(back, n), np.bincount(back)
-            order_by = np.argsort(keys)
-            out["grams"][k - 1] = (keys[order_by], (np.maximum(n - discount, 0) / total[back])[order_by])
-            out["contexts"][k - 1] = (names, discount * types / total)
+            value, weight = np.maximum(n - discount, 0) / total[back], discount * types / total
+            by = np.argsort(keys)
+            if k == order and len(keys) > most_grams:
+                kept = np.zeros(len(keys), bool)
+                kept[np.lexsort((keys, -n))[:most_grams]] = True
+                weight = weight + np.bincount(back[~kept], value[~kept], minlength=len(names))
+                by = by[kept[by]]
+            out["grams"][k - 1] = (keys[by], value[by])
+            out["contexts"][k - 1] = (names, weight)
             if k == 1:
                 # What is left goes to all characters alike, one unseen character included.
                 out["floor"] = discount * len(grams) / total[0] / (len(grams) + 1)
@@ -172,10 +187,6 @@ class Model:
             h = mix(h ^ (grams[:, grams.shape[1] - 1 - k].astype(np.uint64) + np.uint64((k + 1) << 32)))
         return h
 
-    def _context_hash(self, char: np.ndarray, size: int) -> np.ndarray:
-        before = np.concatenate([np.zeros(1, char.dtype), char[:-1]])
-        return gram_hashes(before, size)[-1]
-
     def bits(self, char: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
         """-log2 of the probability of each character of ``rows`` after those before it, a column for each language."""
         hashes = gram_hashes(char, self.order)
@@ -203,60 +214,69 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.known = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.bits = np.zeros((1 << CACHE_BITS, len(model.langs)), np.float32)
+        self.cost = np.zeros((1 << CACHE_BITS, len(model.langs)), np.int64)
 
     def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(letters and spaces, mean bits per language) of each text; texts without letters have 0."""
-        x = Letters(texts)
+        pad = self.model.order - 1
+        x = Letters(texts, pad)
         char, at = x.char, x.at
-        # Texts start with a space, and order - 1 of them would: the grams across a text's start are those of a space run.
         full = gram_hashes(char, self.model.order)[-1]
         slot = (full >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         rare = np.flatnonzero(self.known[slot] != full)
-        value = self.bits[slot]
+        value = self.cost[slot]
         if len(rare):
             unique, first = np.unique(full[rare], return_index=True)
-            got = self.model.bits(char, rare[first]).astype(np.float32)
+            got = np.rint(self.model.bits(char, rare[first]) * PARTS).astype(np.int64)
             value[rare] = got[np.searchsorted(unique, full[rare])]
-            self.bits[slot[rare]], self.known[slot[rare]] = value[rare], full[rare]
-        value[at[:-1]] = 0  # the space before a text is given
-        total = np.concatenate([np.zeros((1, value.shape[1])), np.cumsum(value, axis=0, dtype=np.float64)])
-        n = np.diff(at) - 1
+            self.cost[slot[rare]], self.known[slot[rare]] = value[rare], full[rare]
+        value[(at[:-1, None] + np.arange(pad)).ravel()] = 0  # the spaces before a text are given
+        total = np.concatenate([np.zeros((1, value.shape[1]), np.int64), np.cumsum(value, axis=0)])
+        n = np.diff(at) - pad
         letters = np.concatenate([[0], np.cumsum(char != 0)])
-        some = letters[at[1:]] - letters[at[:-1]] > 0
-        n = np.where(some, n, 0)
-        return n, (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)[:, None]
+        n = np.where(letters[at[1:]] > letters[at[:-1]], n, 0)
+        return n, (total[at[1:]] - total[at[:-1]]) / PARTS / np.maximum(n, 1)[:, None]
 
 
 def _is_training():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != 0
 
 
+def _fitted(order: int, most_grams: int):
+    """One row with the tables of one language, of all rows of its n-grams."""
+
+    def run(key, table):
+        own = table.sort_by("gram")
+        grams = np.frombuffer("".join(own.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(own.num_rows, order)
+        by = np.lexsort(grams.T)
+        p = Model.fit(grams[by], own.column("n").to_numpy()[by], most_grams)
+        packed = [[t[0].astype("<u8").tobytes(), t[1].astype("<f8").tobytes()] for t in (*p["grams"], *p["contexts"])]
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "floor": pa.array([p["floor"]]), "tables": pa.array([[x for pair in packed for x in pair]], pa.list_(pa.binary()))})
+
+    return run
+
+
+def _unpacked(row, order: int) -> dict:
+    parts = [np.frombuffer(x, ("<u8", "<f8")[k % 2]) for k, x in enumerate(row["tables"])]
+    pairs = list(zip(parts[::2], parts[1::2]))
+    return {"floor": row["floor"], "grams": pairs[:order], "contexts": pairs[order:]}
+
+
 def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE, most_grams: int = MOST_GRAMS) -> Model | None:
     """A model of the labelled documents outside the held-out fold, or None if there are none."""
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null").where(_is_training())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_000))
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(max(1, int(1_000_000 * min(1.0, sample / n)))))])
-    chosen = labelled.where(draw < share[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(20)) == 0)
+    often = F.col("lang").isin([lang for lang, n in sizes.items() if n >= LEAST_CALIBRATED])
+    chosen = labelled.where(draw < share[F.col("lang")]).withColumn("calibrates", often & (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)), F.lit(20)) == 0))
     counted = chosen.where("not calibrates").mapInArrow(frugal(_count(order)), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
-    langs = np.array(table.column("lang").to_pylist(), dtype=object)
-    counts = {}
-    for lang in sorted(sizes):
-        own = table.take(pa.array(np.flatnonzero(langs == lang)))
-        counts[lang] = own.sort_by([("n", "descending"), ("gram", "ascending")]).slice(0, most_grams)
-    ready = {}
-    for lang, own in counts.items():
-        if own.num_rows:
-            grams = np.frombuffer("".join(own.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(own.num_rows, order)
-            by = np.lexsort(grams.T)
-            ready[lang] = (grams[by], own.column("n").to_numpy()[by])
-    if not ready:
+    rows = counted.groupBy("lang").applyInArrow(_fitted(order, most_grams), "lang string, floor double, tables array<binary>").collect()
+    if not rows:
         return None
-    model = Model(ready, order)
+    model = Model({r["lang"]: _unpacked(r, order) for r in rows}, order)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     _calibrate(model, chosen.where("calibrates").mapInArrow(_entropies(handle), "lang string, chars long, bits double").toArrow())
     return model
@@ -285,7 +305,6 @@ def _calibrate(model: Model, table: pa.Table) -> None:
     for j, lang in enumerate(model.langs):
         own = (langs == lang) & (n > 0)
         if not own.any():
-            model.mean[j], model.spread[j], model.each[j] = np.inf, 1.0, 1.0
             continue
         h, m = bits[own], n[own]
         model.mean[j] = np.average(h, weights=m)
@@ -331,18 +350,17 @@ def _predict(handle, keep: int):
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every document with _lang, _score and _rejected."""
-    kept = docs.select(*keep, F.col(text_col).alias("_text"))
+    kept = docs.select(*keep, F.col(text_col))
     if model is None:
-        return kept.drop("_text").withColumns({"_lang": F.lit(UNDETERMINED), "_score": F.lit(0.0), "_rejected": F.lit(True)})
-    schema = kept.drop("_text").withColumns({"_lang": F.lit(""), "_score": F.lit(0.0), "_rejected": F.lit(True)}).schema
+        return docs.select(*keep).withColumns({"_lang": F.lit(UNDETERMINED), "_score": F.lit(0.0), "_rejected": F.lit(True)})
+    schema = docs.select(*keep).withColumns({"_lang": F.lit(""), "_score": F.lit(0.0), "_rejected": F.lit(True)}).schema
     handle = docs.sparkSession.sparkContext.broadcast(model)
     return kept.mapInArrow(frugal(_predict(handle, len(keep))), schema)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every document; learned outside the held-out fold."""
-    named = docs.select("doc_id", "text")
-    out = predict(named, fit(docs, **options), ["doc_id"])
+    out = predict(docs, fit(docs, **options), ["doc_id"])
     return out.select("doc_id", (~_is_training()).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 

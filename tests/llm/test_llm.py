@@ -100,13 +100,6 @@ def test_language(spark, none):
     assert sorted(r["doc_id"] for r in langid.drop_rejected(docs).collect()) == list(range(400))
 
 
-def test_model_sums_to_one():
-    grams = np.array([[0, 97, 98], [97, 98, 97], [98, 97, 97], [97, 97, 98]], np.uint32)
-    model = langid.Model({"x": (grams, np.array([3, 2, 1, 1]))}, 3)
-    p = [2 ** -model.bits(np.array([0, 97, 98, c], np.uint32), np.array([3]))[0, 0] for c in (97, 98, 5000)]
-    assert abs(sum(p) - 1) < 1e-9
-
-
 def test_secrets(docs, none):
     got = {r["doc_id"]: r for r in secretscan.scan_secrets(docs, public_path(VOCABULARY)).collect()}
     spans = "assign:0:49,hex:9:49,access:51:71"
