@@ -5,28 +5,104 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Tables with at most so many rows are joined by broadcast; larger ones by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where none is set, as in tests, a folder of this machine."""
+    """The cluster's ``spark.checkpoint.dir``. Only in local mode, as in tests, a folder of this machine stands in for one that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = known.get() if known.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shutterlake-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def _located(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/shutterlake/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/shutterlake/{name}-{uuid.uuid4().hex}"
+    fs, path = _located(spark, at)
+    fs.deleteOnExit(path)
+    return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: its lineage is cut, and the loss of an executor doesn't lose it."""
-    at = fresh(df.sparkSession, name)
+class Scratch:
+    """Written tables that only the making of a result needs; ``drop`` deletes them before the driver ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        at = fresh(self.spark, name)
+        self.paths.append(at)
+        return _write(df, at)
+
+    def drop(self) -> None:
+        for at in self.paths:
+            fs, path = _located(self.spark, at)
+            fs.delete(path, True)
+        self.paths.clear()
+
+
+def _write(df: DataFrame, at: str) -> DataFrame:
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: its lineage is cut, and the loss of an executor doesn't lose it."""
+    return _write(df, fresh(df.sparkSession, name))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, broadcast in joins only if it has few rows."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def running(df: DataFrame, order: list[Column], sums: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with ``before``, the number of rows before each in a total order, and for each column x of ``sums``, ``before_x``, their sum of x.
+
+    Rows are dealt by range and numbered within each part; the driver gets one row for each part, to add the parts before it.
+    """
+    extra = ["before", *(f"before_{x}" for x in sums)]
+    ready = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType([*df.schema, *[T.StructField(x, T.LongType()) for x in extra], T.StructField("part", T.IntegerType())])
+
+    def run(batches):
+        had = dict.fromkeys(extra, 0)
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            own = [np.ones(n, np.int64), *(batch.column(x).to_numpy(zero_copy_only=False) for x in sums)]
+            out = []
+            for x, v in zip(extra, own):
+                total = np.cumsum(v)
+                out.append(pa.array(had[x] + total - v, pa.int64()))
+                had[x] += int(total[-1]) if n else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out, pa.array(np.full(n, part, np.int32))], names=[*batch.schema.names, *extra, "part"])
+
+    table = scratch.written(ready.mapInArrow(run, schema), name)
+    parts = table.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"sum_{x}") for x in sums]).orderBy("part").collect()
+    offsets, had = [], [0] * len(extra)
+    for r in parts:
+        offsets.append((r["part"], *had))
+        had = [a + b for a, b in zip(had, r[1:])]
+    add = df.sparkSession.createDataFrame(offsets, T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(f"add_{x}", T.LongType()) for x in extra]]))
+    return table.join(F.broadcast(add), "part").select(*df.columns, *[(F.col(x) + F.col(f"add_{x}")).alias(x) for x in extra])

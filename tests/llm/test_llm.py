@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from oracle import compare
 
-from shutterlake.llm import decontam, htmlcut, langid, linededup, media, mixing, ngram_join, quality, secretscan, tokenfiles
+from shutterlake.llm import decontam, htmlcut, langid, linededup, media, ngram_join, quality, secretscan, tokenfiles
 from shutterlake.llm.kernels import Words, slices
 from shutterlake.llm.queries import TOKENIZER, VOCABULARY, oracle_sql, public_path, queries
 
@@ -132,20 +132,6 @@ def test_secrets_beside_dots(spark):
     assert cut == {k: found for k, (_, found) in enumerate(cases)}
 
 
-def test_mix(spark, docs, none):
-    assert mixing.targets({"a": 100, "b": 10, None: 1}) == {"a": 78.0, "b": 30.0, None: 3.0}
-    rows = [(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(3000)]
-    df = spark.createDataFrame([*rows, (9999, None, None)], "doc_id long, text string, source string")
-    got = mixing.report(df).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.report(df.repartition(7)).collect()))
-    for s in ("s0", "s1", "s2"):
-        own = [r for r in got if r["doc_id"] < 9999 and rows[r["doc_id"]][2] == s]
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10 and all(r["taken"] <= 3 * r["size"] for r in own)
-    assert mixing.mix(df).count() == sum(r["taken"] // r["size"] for r in got if r["size"])
-    assert mixing.report(none).count() == 0 and mixing.mix(docs).columns == docs.columns
-    assert mixing.split([5, 0, 9], 4, 1).sum(axis=0).tolist() == [5, 0, 9]
-
-
 def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
