@@ -53,7 +53,7 @@ def _keys(seed: int) -> dict:
 
 def _sources(light: DataFrame, weights, most: int, block_words: int, scratch: Scratch) -> tuple[DataFrame, int, float]:
     """(the sources with their targets, how many there are, all words of the mix)."""
-    own = scratch.written(light.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
+    own = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     own = running(own, [F.col("source").isNull(), F.col("source")], [], scratch, "mix-sources").withColumnRenamed("before", "number")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("double")
     own = own.withColumn("weight", weight)
@@ -129,7 +129,7 @@ def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
     shards = shards or max(LEAST_SHARDS, -(-int(words) // shard_words))
 
     placed = _with_source(light, sources, n_sources)
-    blocks = scratch.written(placed.groupBy("number", "block").agg(F.sum("size").alias("words")).withColumn("order", F.xxhash64("number", "block", F.lit(seed))), "mix-blocks")
+    blocks = placed.groupBy("number", "block").agg(F.sum("size").alias("words")).withColumn("order", F.xxhash64("number", "block", F.lit(seed)))
     blocks = running(blocks, [F.col("number"), F.col("order"), F.col("block")], ["words"], scratch, "mix-order")
     first = blocks.groupBy("number").agg(F.min("before_words").alias("first"))
     aims = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)).withColumn("rest", F.when(F.col("whole") < most, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
@@ -148,11 +148,10 @@ def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
     sofar = F.sum("size").over(Window.partitionBy("number", "block").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
     cuts = placed.join(partial, ["number", "block"]).withColumn("sofar", sofar).where("sofar - size / 2 <= wanted").groupBy("number", "block").agg(F.max("place").alias("cut"))
 
-    instances = blocks.withColumn("part", F.col("wanted").isNotNull()).withColumn("all", F.col("times") + F.col("part").cast("long")).where(F.col("all") > 0)
-    instances = instances.select("number", "block", "times", F.explode(F.expr("sequence(0L, all - 1)")).alias("time"))
-    instances = instances.withColumn("category", F.col("number") % CATEGORIES).withColumn("draw", F.xxhash64("number", "block", "time", F.lit(seed)))
-    instances = scratch.written(instances, "mix-instances")
-    quotas = {r["category"]: r["n"] for r in instances.groupBy("category").agg(F.count("*").alias("n")).collect()}
+    instances = blocks.withColumns({"all": F.col("times") + F.col("wanted").isNotNull().cast("long"), "category": F.col("number") % CATEGORIES}).where("all > 0")
+    quotas = {r["category"]: r["n"] for r in instances.groupBy("category").agg(F.sum("all").alias("n")).collect()}
+    instances = instances.select("category", "number", "block", "times", F.explode(F.expr("sequence(0L, all - 1)")).alias("time"))
+    instances = instances.withColumn("draw", F.xxhash64("number", "block", "time", F.lit(seed)))
     starts, had = {}, 0
     for c in sorted(quotas):
         starts[c] = had
