@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from oracle import compare
 
-from shutterlake.llm import decontam, htmlcut, langid, linededup, media, ngram_join, quality, secretscan, tokenfiles
+from shutterlake.llm import decontam, langid, linededup, media, ngram_join, quality, secretscan, tokenfiles
 from shutterlake.llm.kernels import Words, slices
 from shutterlake.llm.queries import TOKENIZER, VOCABULARY, oracle_sql, public_path, queries
 
@@ -212,16 +212,6 @@ def test_media(docs, none):
     assert [(i["position"], i["text"], i["digest"], i["caption"]) for i in items] == [(0, "a & b", None, None), (1, None, "x.png", "pic"), (2, "c", None, None)]
 
 
-def test_html():
-    page = '<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &lt; B</h1><p>One <b>two</b>\n three.<p>Four.<div class="ad">Buy this.</div><section class="comments"><p>I liked it very much indeed.</p></section></article><footer>&copy;'
-    assert htmlcut.main_text(page)[0] == "A < B One two three. Four."
-    assert htmlcut.main_text(None)[0] == htmlcut.main_text("")[0] == htmlcut.main_text("<script>x")[0] == ""
-    flow = htmlcut.Flow(4)
-    for a, b, c in ((0, 2, 3.0), (0, 3, 1.0), (2, 1, 1.0), (3, 1, 3.0), (2, 3, 1.0)):
-        flow.edge(a, b, c)
-    assert flow.cut() == [True, False, True, False]
-
-
 def test_quality(spark, none):
     good = [(i, "This is a sentence of ordinary words, number %d. " % i * 1 + " ".join(f"w{i}x{k}," for k in range(40)), 1) for i in range(150)]
     bad = [(1000 + i, "SPAM!! " * 60 + str(i), 0) for i in range(80)]
