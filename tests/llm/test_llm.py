@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from oracle import compare
 
-from shutterlake.llm import decontam, langid, linededup, media, ngram_join, quality, secretscan, tokenfiles
+from shutterlake.llm import langid, linededup, media, ngram_join, quality, secretscan, tokenfiles
 from shutterlake.llm.kernels import Words, slices
 from shutterlake.llm.queries import TOKENIZER, VOCABULARY, oracle_sql, public_path, queries
 
@@ -67,26 +67,6 @@ def test_blocks_lose_no_link(spark):
     assert {r["n_links"] for r in got} == {29} and {r["class_id"] for r in got} == {0}
 
 
-def test_decontamination(spark, docs, none):
-    bench = spark.createDataFrame([(1, " ".join(LONG.split()[3:18])), (2, "nur DREI wörter"), (3, None), (4, "")], "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontam.report(docs, bench).collect()}
-    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (24, 15, 1, True)
-    assert got[1]["items_sha256"] == hashlib.sha256(b"1").hexdigest() and got[7]["n_hit"] == 3 and got[4]["items_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert sorted(map(tuple, decontam.report(docs, bench, most_windows=2).collect())) == sorted(map(tuple, decontam.report(docs, bench).collect()))
-    left = decontam.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 8, 9]
-    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench, most_windows=2).collect()) == [4, 5, 6, 8, 9]
-    cut = {r["doc_id"]: r["text"] for r in decontam.remove_spans(docs, bench).collect()}
-    assert cut[7] == "" and cut[1] == "alpha beta gamma  tau upsilon phi chi psi omega" and cut[4] is None and cut[6] == "... !!"
-    assert decontam.report(none, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
-
-
-def test_remove_spans_in_parts(spark, docs):
-    bench = spark.createDataFrame([(1, " ".join(LONG.split()[3:18])), (2, "nur DREI wörter"), (3, " ".join(LONG.split()[10:23]))], "item_id long, text string")
-    one, parts = ({(r["doc_id"], r["text"]) for r in decontam.remove_spans(docs, bench, **o).collect()} for o in ({}, {"most_windows": 2}))
-    assert one == parts and (7, "") in parts and (1, "alpha beta gamma  omega") in parts
-
-
 def test_language(spark, none):
     en, de = "the cat sat on the mat with a hat and that was the end of this", "der hund und die katze sind nicht im haus weil sie draußen spielen"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((en, de)[i % 2].split())), ("en", "de")[i % 2]) for i in range(400)]
