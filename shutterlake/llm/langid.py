@@ -37,7 +37,7 @@ UNDETERMINED = "und"
 EVIDENCE = 200
 CACHE_BITS = 18
 #: Parts of a bit in which the cost of a character is summed.
-PARTS = 1 << 28
+PARTS = 1 << 20
 
 _letters: list[np.ndarray] = []
 
@@ -214,28 +214,28 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.known = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.cost = np.zeros((1 << CACHE_BITS, len(model.langs)), np.int64)
+        self.cost = np.zeros((1 << CACHE_BITS, len(model.langs)), np.int32)
 
     def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(letters and spaces, mean bits per language) of each text; texts without letters have 0."""
-        pad = self.model.order - 1
+        pad = max(1, self.model.order - 1)
         x = Letters(texts, pad)
         char, at = x.char, x.at
         full = gram_hashes(char, self.model.order)[-1]
         slot = (full >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         rare = np.flatnonzero(self.known[slot] != full)
-        value = self.cost[slot]
+        value = self.cost.take(slot, axis=0)
         if len(rare):
             unique, first = np.unique(full[rare], return_index=True)
-            got = np.rint(self.model.bits(char, rare[first]) * PARTS).astype(np.int64)
+            got = np.rint(self.model.bits(char, rare[first]) * PARTS).astype(np.int32)
             value[rare] = got[np.searchsorted(unique, full[rare])]
             self.cost[slot[rare]], self.known[slot[rare]] = value[rare], full[rare]
         value[(at[:-1, None] + np.arange(pad)).ravel()] = 0  # the spaces before a text are given
-        total = np.concatenate([np.zeros((1, value.shape[1]), np.int64), np.cumsum(value, axis=0)])
+        total = np.stack([np.add.reduceat(value[:, j], at[:-1], dtype=np.int64) for j in range(value.shape[1])], axis=1)
         n = np.diff(at) - pad
         letters = np.concatenate([[0], np.cumsum(char != 0)])
         n = np.where(letters[at[1:]] > letters[at[:-1]], n, 0)
-        return n, (total[at[1:]] - total[at[:-1]]) / PARTS / np.maximum(n, 1)[:, None]
+        return n, total / PARTS / np.maximum(n, 1)[:, None]
 
 
 def _is_training():
