@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import Texts, Words, flag, frugal, grams, slices
-from .shared import Scratch, written
+from .shared import Scratch, bitmap, in_bitmap, written
 
 WINDOW, MOST_WINDOWS, MOST_CHARS = 13, 4_000_000, 200_000_000
-BITS, BITS_WIDE, CHUNK = 20, 28, 16
+BITS, BITS_WIDE = 20, 28
 WORDS = "[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+"
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
@@ -81,20 +81,20 @@ class Sought:
     """Looks windows up: a bitmap first, then the sorted hashes, then the words."""
 
     def __init__(self, windows: Windows):
-        self.windows, self.bitmaps = windows, []
+        self.windows, self.flags = windows, []
         for table in windows.tables:
-            bitmap = np.zeros(1 << BITS, bool)
-            bitmap[(table[1] >> np.uint64(64 - BITS)).astype(np.int64)] = True
-            self.bitmaps.append(bitmap)
+            flags = np.zeros(1 << BITS, bool)
+            flags[(table[1] >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            self.flags.append(flags)
 
     def hits(self, texts: Texts, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words are in an occurring window, and the items found in each text."""
         cover = np.zeros(len(words.hash) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
-        for table, bitmap in zip(self.windows.tables, self.bitmaps):
+        for table, flags in zip(self.windows.tables, self.flags):
             length, hashes = table[:2]
             h = grams(words.hash, length)
-            maybe = np.flatnonzero(bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+            maybe = np.flatnonzero(flags[(h >> np.uint64(64 - BITS)).astype(np.int64)])
             place = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
             same = hashes[place] == h[maybe]
             maybe, place = maybe[same], place[same]
@@ -185,24 +185,6 @@ def _bench_windows(size: int):
     return run
 
 
-def _bitmap(table: DataFrame) -> np.ndarray:
-    """Bit h for the top ``BITS_WIDE`` bits h of each hash; each chunk of it is made by a task."""
-    top = F.shiftrightunsigned("hash", 64 - BITS_WIDE)
-    chunks = table.select(F.shiftright(top, CHUNK).alias("chunk"), top.bitwiseAND((1 << CHUNK) - 1).cast("int").alias("bit")).distinct().groupBy("chunk").agg(F.collect_list("bit").alias("bits"))
-    packed = chunks.select("chunk", F.udf(_packed, "binary")("bits").alias("bits"))
-    out = np.zeros(1 << (BITS_WIDE - 3), np.uint8)
-    step = 1 << (CHUNK - 3)
-    for r in packed.toLocalIterator():
-        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _packed(bits) -> bytes:
-    flags = np.zeros(1 << CHUNK, bool)
-    flags[np.array(bits)] = True
-    return np.packbits(flags).tobytes()
-
-
 CANDIDATES = "array<struct<k:bigint,length:int,hash:bigint,words:binary>>"
 
 
@@ -211,7 +193,7 @@ def _candidates(handle, lengths: list[int]):
     kind = pa.list_(pa.struct([("k", pa.int64()), ("length", pa.int32()), ("hash", pa.int64()), ("words", pa.binary())]))
 
     def run(batches):
-        bitmap = handle.value
+        bits = handle.value
         for batch in batches:
             n_words, out = [], []
             for texts in slices(batch.column(1)):
@@ -219,8 +201,7 @@ def _candidates(handle, lengths: list[int]):
                 own: list[list] = [[] for _ in range(len(texts))]
                 for length in lengths:
                     h = grams(words.hash, length)
-                    top = (h >> np.uint64(64 - BITS_WIDE)).astype(np.int64)
-                    maybe = np.flatnonzero((bitmap[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1)
+                    maybe = np.flatnonzero(in_bitmap(bits, h))
                     for k, i in zip(maybe.tolist(), (np.searchsorted(words.at, maybe, "right") - 1).tolist()):
                         if k + length <= words.at[i + 1]:
                             own[i].append((k - int(words.at[i]), length, int(h[k].view(np.int64)), words.joined(k, k + length)))
@@ -253,7 +234,7 @@ def _scan_joined(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     windows = scratch.written(items.mapInArrow(frugal(_bench_windows(size)), "length int, hash long, words binary, item string").distinct(), "bench-windows")
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
-    handle = spark.sparkContext.broadcast(_bitmap(windows))
+    handle = spark.sparkContext.broadcast(bitmap(windows.select("hash"), BITS_WIDE))
     kind = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("found", T._parse_datatype_string(CANDIDATES))])
     table = written(rows.mapInArrow(frugal(_candidates(handle, lengths)), kind).withColumn("id", F.monotonically_increasing_id()), "bench-candidates")
     sought = table.where("size(found) > 0").select("id", F.explode("found").alias("x")).select("id", "x.*")

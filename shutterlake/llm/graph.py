@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch, hot, join_unique, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,22 +13,28 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round hooks every root to the least label that a neighbour has, then jumps pointers, so that the number of rounds
     grows with the logarithm of the diameter. Each round is a written table. Self loops are allowed, nulls are dropped, and
-    an empty edge table gives an empty result. The aggregates combine before they shuffle, so hubs don't gather in a task.
+    an empty edge table gives an empty result. Aggregates combine before they shuffle, and rows of a hub or of a large
+    component are not gathered by its node: its one row is brought to them.
     """
+    scratch = Scratch(edges.sparkSession)
     # Written, since both directions read it and its own making may be costly.
-    pairs = written(edges.where("a is not null and b is not null").select("a", "b").distinct(), "cc-pairs")
-    both = written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-label")
+    pairs = scratch.written(edges.where("a is not null and b is not null").select("a", "b").distinct(), "cc-pairs")
+    both = scratch.written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    label = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-label")
+    hubs = hot(both, "b")
     for _ in range(most_rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        large = hot(label, "label")
+        near = join_unique(both, label.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         # A root takes the least label that any node below it has found.
         hook = step.groupBy(F.col("label").alias("node")).agg(F.min("next").alias("hook"))
         hooked = step.join(hook, "node", "left").select("node", "label", F.least("next", F.coalesce("hook", "next")).alias("next"))
         jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        moved = written(hooked.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")), "cc-round")
+        moved = scratch.written(join_unique(hooked, jump, "next", large).select("node", "label", F.least("next", "far").alias("next")), "cc-round")
         done = moved.where("label <> next").limit(1).count() == 0
         label = moved.select("node", F.col("next").alias("label"))
         if done:
-            return label
+            found = written(label, "components")
+            scratch.drop()
+            return found
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

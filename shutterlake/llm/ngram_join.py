@@ -11,10 +11,14 @@
 
 Buckets and groups of more than ``block`` members are dealt out as a grid of pairs of blocks, so none gathers in one task;
 no bucket, partner or candidate is capped. With 32 bands of 4 rows a pair at 0.8 misses all buckets with probability 5e-8.
+Of the texts, only those of candidates are shuffled: a bitmap of fixed size that Python holds against a column of hashes tells
+them. Joins on a bucket, class or group that holds many rows bring the one row of the other side to them.
 
 Defined results: words are those of ``kernels.WORD`` (ASCII case folded); a text with fewer words than the shingle size is one
 shingle of all of them. Texts without words, nulls included, have no links, and their class is their own doc_id. Repeated rows
-are repeated in the result, each copy being a link of the others. Other columns are ignored; an empty table gives no rows.
+are repeated in the result, each copy being a link of the others. A null doc_id takes part like others and is the last in order,
+so that it names a class only if all its ids are null. A text of any length is one slice of its own. Other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kernels import Words, frugal, mix, shingles, slices
-from .shared import written
+from .kernels import Words, flag, frugal, mix, shingles, slices
+from .shared import Scratch, bitmap, hot, in_bitmap, join_unique, small, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK = 5, 0.8, 32, 4, 1e-6, 1024
 CHUNK = 16
+#: Of the bitmaps of rows, as a power of 2.
+BITS = 27
 PAIRS_AT_ONCE = 1 << 17
 #: Groups up to this size verify pair by pair, larger ones through an incidence matrix.
 BY_PAIR = 48
@@ -273,30 +279,58 @@ def _grid(df: DataFrame, size: str, block: int) -> DataFrame:
     return df.withColumn("bi", F.least("chunk", "other")).withColumn("bj", F.greatest("chunk", "other")).drop("blocks", "other")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links, copies) for every document; see the module's docstring."""
+def _identity():
+    """A hash of what tells rows apart: doc_id and the digest of the text."""
+    return F.xxhash64("doc_id", "key")
+
+
+def _digest(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _marked(handle):
+    def run(columns):
+        for column in columns:
+            yield pa.array(in_bitmap(handle.value, column.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
+
+    return run
+
+
+def _join(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int, tolerance: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and key of every row, whose key is null if its text has no words; key, rep, n, links and label of every class)."""
     fewest = least_matches(threshold, tolerance, bands * rows)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = docs.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    table = written(keyed.mapInArrow(frugal(_sketch(shingle, bands, rows)), "doc_id long, key binary, bands array<long>, signature binary"), "join-sketch")
+    scratch = Scratch(docs.sparkSession)
+    keyed = docs.withColumn("key", _digest("text"))
+    table = scratch.written(keyed.mapInArrow(frugal(_sketch(shingle, bands, rows)), "doc_id long, key binary, bands array<long>, signature binary"), "join-sketch")
+    ids = written(table.select("doc_id", "key"), "join-rows")
 
-    classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    classes = scratch.written(ids.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "join-classes")
     sketch = table.where("signature is not null").select("key", "bands", "signature").dropDuplicates(["key"])
 
     banded = sketch.select("key", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = banded.join(full, "bucket").join(sketch.select("key", "signature"), "key")
+    sizes = scratch.written(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "join-buckets")
+    # Buckets that are dealt out as a grid are few; their sizes are brought to their rows.
+    large = sizes.where(F.col("size") > block)
+    n_large = large.count()
+    if n_large:
+        spread = small(large, n_large)
+        met = banded.join(spread, "bucket").unionByName(banded.join(spread, "bucket", "left_anti").join(sizes.where(F.col("size") <= block), "bucket"))
+    else:
+        met = banded.join(sizes, "bucket")
+    met = met.join(sketch.select("key", "signature"), "key")
     met = _grid(met, "size", block).select("bucket", "bi", "bj", "chunk", "key", "signature")
     met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     found = components(met.mapInArrow(frugal(_prune(bands, rows, fewest)), "a binary, b binary"))
 
-    found = written(found.join(classes, found["node"] == classes["key"]).select("key", "label", "rep", "n"), "join-groups")
-    sized = found.join(found.groupBy("label").agg(F.count("*").alias("size")), "label")
+    found = scratch.written(found.join(classes, found["node"] == classes["key"]).select("key", "label", "rep", "n"), "join-groups")
+    sized = join_unique(found, found.groupBy("label").agg(F.count("*").alias("size")), "label", hot(found, "label"))
+    handle = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(F.xxhash64("rep", "key").alias("h")), BITS))
+    texts = keyed.where(flag(_marked(handle))(_identity())).withColumnRenamed("key", "text_key")
     # The same join at every size: neither side has a bound, so neither is broadcast.
-    brought = sized.hint("merge").join(docs.withColumnRenamed("doc_id", "rep").withColumn("text_key", F.unhex(F.md5("text"))), "rep").where("key = text_key").dropDuplicates(["key"])
+    brought = sized.hint("merge").join(texts, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).dropDuplicates(["key"])
     brought = _grid(brought, "size", block).select("label", "bi", "bj", "chunk", "key", "n", "text")
     brought = brought.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
-    links = written(brought.mapInArrow(frugal(_verify(shingle, threshold, bands * rows, fewest)), "a binary, b binary, links long"), "join-links")
+    links = scratch.written(brought.mapInArrow(frugal(_verify(shingle, threshold, bands * rows, fewest)), "a binary, b binary, links long"), "join-links")
 
     linked = components(links)
     final = (
@@ -304,29 +338,47 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .join(linked.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("label", F.coalesce("label", "key"))
     )
-    final = written(final, "join-classes")
-    least = final.groupBy("label").agg(F.min("rep").alias("class_id"))
-    final = final.join(least, "label").select("key", "class_id", F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return (
-        table.select("doc_id", "key")
-        .join(final, "key", "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    )
+    final = written(final, "join-final")
+    scratch.drop()
+    return ids, final
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with one of each class: the row with the least doc_id; columns as before.
+def _with_least(final: DataFrame, least, name: str) -> DataFrame:
+    """``final`` with an aggregate over the classes of each group."""
+    return join_unique(final, final.groupBy("label").agg(least.alias(name)), "label", hot(final, "label"))
 
-    Of repeated rows with the same doc_id one stays. A null doc_id takes part in no class and stays.
-    """
-    kept = jaccard_join(docs.where("doc_id is not null"), **options).where("doc_id = class_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    repeated = F.row_number().over(_by_id(docs))
-    first = first.withColumn("_row", repeated).where("_row = 1").drop("_row")
-    return first.unionByName(docs.where("doc_id is null"))
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_links, copies) for every document; see the module's docstring."""
+    ids, final = _join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle, threshold, bands, rows, tolerance, block)
+    final = _with_least(final, F.min("rep"), "class_id")
+    final = final.select("key", "class_id", F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return join_unique(ids, final, "key", hot(ids.where("key is not null"), "key"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _by_id(docs: DataFrame):
-    from pyspark.sql import Window
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """The documents, with one of each class: the row with the least doc_id; columns as before.
 
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    Rows are told apart by doc_id and text: of rows equal in both one stays, rows with the same doc_id and other texts are
+    judged on their own, and a null doc_id is the last in order. Texts without words all stay. Rows that stay for certain are
+    not shuffled: a bitmap of fixed size tells them from those that may go.
+    """
+    spark = docs.sparkSession
+    ids, final = _join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle, threshold, bands, rows, tolerance, block)
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")
+    keeps = _with_least(final, F.min(order), "kept").select("key", (F.col("kept") == order).alias("first"), "rep")
+    each = ids.where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+    judged = join_unique(each, keeps, "key", hot(ids.where("key is not null"), "key"))
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))
+    touched = written(judged.where(~stays | (F.col("times") > 1)).select("doc_id", "key", stays.alias("stays")), "join-touched")
+    handle = spark.sparkContext.broadcast(bitmap(touched.select(_identity().alias("h")), BITS))
+
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _digest(text_col).alias("key"))
+    maybe = flag(_marked(handle))(_identity())
+    certain = docs.where(~flag(_marked(handle))(F.xxhash64(F.col("doc_id").cast("long"), _digest(text_col))))
+    # Of the rows that the bitmap marks: those that it marks wrongly, and one of each that stays.
+    known = touched.select(F.col("doc_id").alias("id"), F.col("key").alias("digest"), "stays")
+    marked = packed.where(maybe).join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("digest")), "left")
+    wrongly = marked.where("stays is null").select("row.*")
+    one = marked.where("stays").groupBy("doc_id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return certain.unionByName(wrongly).unionByName(one)

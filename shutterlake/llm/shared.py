@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 
 #: Tables with at most so many rows are joined by broadcast; larger ones by a shuffle.
 MOST_BROADCAST = 500_000
+#: Values of a join key are hot beyond ``LEAST_HOT`` rows and a ``MOST_HOT``-th of all.
+LEAST_HOT, MOST_HOT = 256, 500
+#: Bits of a chunk of a bitmap, as a power of 2.
+CHUNK = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +80,45 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap, of 2 to the power of ``bits`` whatever the table's size, of the top bits of its one column of 64-bit hashes."""
+    h = F.col(hashes.columns[0])
+    top = F.shiftrightunsigned(h, 64 - bits)
+    chunks = hashes.select(F.shiftright(top, CHUNK).alias("chunk"), top.bitwiseAND((1 << CHUNK) - 1).cast("int").alias("bit")).distinct()
+    step = 1 << (CHUNK - 3)
+
+    def pack(key, table):
+        flags = np.zeros(1 << CHUNK, bool)
+        flags[table.column("bit").to_numpy()] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in chunks.groupBy("chunk").applyInArrow(pack, "chunk long, packed binary").toLocalIterator():
+        out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["packed"], np.uint8)
+    return out
+
+
+def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes may be in the bitmap; those that are, are."""
+    bits = int(len(packed)).bit_length() + 2
+    top = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1 > 0
+
+
+def hot(table: DataFrame, key: str) -> list:
+    """The values of a written table's column that hold more than a ``MOST_HOT``-th of its rows; there are fewer than that."""
+    return [r[0] for r in table.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HOT, table.count() // MOST_HOT)).select(key).collect()]
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, values: list, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has each key once; rows of the hot ``values`` stay where they are."""
+    if not values:
+        return left.join(right, key, how)
+    often = F.coalesce(F.col(key).isin(values), F.lit(False))
+    few = left.where(often).join(F.broadcast(right.where(often)), key, how)
+    return few.unionByName(left.where(~often).join(right.where(~often), key, how))
+
+
 def running(df: DataFrame, order: list[Column], sums: list[str], scratch: Scratch, name: str) -> DataFrame:
     """``df`` with ``before``, the number of rows before each in a total order, and for each column x of ``sums``, ``before_x``, their sum of x.
 

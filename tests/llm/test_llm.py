@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from oracle import compare
 
-from shutterlake.llm import langid, linededup, media, ngram_join, quality, secretscan, tokenfiles
+from shutterlake.llm import langid, linededup, media, quality, secretscan, tokenfiles
 from shutterlake.llm.kernels import Words, slices
 from shutterlake.llm.queries import TOKENIZER, VOCABULARY, oracle_sql, public_path, queries
 
@@ -47,26 +47,6 @@ def test_words():
     assert [[w.joined(k, k + 1).decode() for k in range(w.at[i], w.at[i + 1])] for i in range(4)] == [WORD.findall(fold(t)) for t in ("Ab c-É9", "", "", "x" * 200 + " y")]
 
 
-def test_jaccard_join(spark, docs, none):
-    sets = []
-    for r in ROWS:
-        w = WORD.findall(fold(r[1]))
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    links = [sum(1 for j, b in enumerate(sets) if i != j and a and b and 5 * len(a & b) >= 4 * len(a | b)) for i, a in enumerate(sets)]
-    got = ngram_join.jaccard_join(docs, block=2).collect()
-    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted((r[0], n) for r, n in zip(ROWS, links))
-    assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9}
-    kept = ngram_join.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 9]
-    assert ngram_join.jaccard_join(none).count() == 0
-
-
-def test_blocks_lose_no_link(spark):
-    rows = [(i, LONG.replace("mu", f"w{i}") + " " + " ".join(f"t{k}" for k in range(60))) for i in range(30)]
-    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=7).collect()
-    assert {r["n_links"] for r in got} == {29} and {r["class_id"] for r in got} == {0}
-
-
 def test_language(spark, none):
     en, de = "the cat sat on the mat with a hat and that was the end of this", "der hund und die katze sind nicht im haus weil sie draußen spielen"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((en, de)[i % 2].split())), ("en", "de")[i % 2]) for i in range(400)]
