@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
     return (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "2")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
