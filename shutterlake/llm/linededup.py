@@ -11,12 +11,14 @@ lines, longest increasing chain, then the same between the anchors, equal lines
 unique, the longest common block is the anchor). Aligned common
 blocks of at least ``least_words`` words are deleted from the later document. A hash of 128 bits stands for a line.
 
-The earlier document is the one with the lower doc_id; since it is the original text that is aligned, what is deleted
-somewhere is kept by the first document that has it.
+The earlier document is the one with the lower doc_id (null first; of equal ids the one whose text has the lower hash); since it is
+the original text that is aligned, what is deleted somewhere is kept by the first document that has it. Rows carry a number of
+their own, so that equal ids or texts are never taken for each other. A run that many documents have and a document that many
+are paired with are brought to their rows, which are not gathered.
 
 Defined results: lines are split at \\n and compared without surrounding white space; lines without words count in no block and
-stay; a null text has no lines and stays null; of rows with the same doc_id the texts are taken as they come and never aligned
-with each other; other columns are ignored; an empty table gives no rows.
+stay; a null text has no lines and stays null; of rows equal in doc_id and text one is the first; a text of any length is aligned
+whole; columns but doc_id and text stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,24 +31,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .kernels import slices
-from .shared import written
+from .kernels import frugal, slices
+from .shared import Scratch, hot, join_unique, member, written
 
 RARE, LEAST_WORDS = 8, 20
+#: Of the bitmap of rows that lose lines, as a power of 2.
+BITS = 27
+DOC = pa.struct([("doc_id", pa.int64()), ("hash", pa.int64()), ("row", pa.int64())])
+DOC_KIND = "struct<doc_id:bigint,hash:bigint,row:bigint>"
 
 
 def _lines(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("lines", pa.list_(pa.binary())), ("words", pa.list_(pa.int32()))])
+    """kept, doc_id, hash and text become kept, doc_id, hash, lines (their digests) and words."""
     for batch in batches:
-        ids = batch.column("doc_id")
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column(3)):
             lines, words = [], []
             for i in range(len(texts)):
                 own = [ln.split() for ln in texts.text(i).split("\n")]
                 lines.append([hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=16).digest() if w else None for w in own])
                 words.append([len(w) for w in own])
-            yield pa.RecordBatch.from_arrays([ids.slice(texts.first, len(texts)).cast(pa.int64()), pa.array(lines, schema.field(1).type), pa.array(words, schema.field(2).type)], schema=schema)
+            part = [batch.column(k).slice(texts.first, len(texts)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*part, pa.array(lines, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.int32()))], names=["kept", "doc_id", "hash", "lines", "words"])
 
 
 def least_runs(lines: list, words: list[int], least_words: int) -> dict[bytes, list[list[int]]]:
@@ -74,33 +81,33 @@ def _key(run: bytes, time: int = 0) -> int:
 
 
 def _runs(least_words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("run", pa.int64())])
+    schema = pa.schema([("doc", DOC), ("run", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            ids, own = [], []
-            for doc, lines, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "words"))):
-                found = [_key(x, k) for x, places in least_runs(lines, words, least_words).items() for k in range(len(places))]
-                ids += [doc] * len(found)
+            places, own = [], []
+            for k, (lines, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lines", "words")))):
+                found = [_key(x, t) for x, at in least_runs(lines, words, least_words).items() for t in range(len(at))]
+                places += [k] * len(found)
                 own += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(places, pa.int64())).cast(DOC), pa.array(own, pa.int64())], schema=schema)
 
     return run
 
 
 def _standing(least_words: int):
     """Those of the column ``runs`` that stand somewhere in a document with a line that is not in ``gone``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("run", pa.int64())])
+    schema = pa.schema([("doc", DOC), ("run", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            ids, own = [], []
-            for doc, lines, words, runs, gone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "words", "runs", "gone"))):
+            where, own = [], []
+            for k, (lines, words, runs, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lines", "words", "runs", "gone")))):
                 runs, gone = set(runs), set(gone or ())
                 found = [_key(x) for x, places in least_runs(lines, words, least_words).items() if _key(x) in runs and not all(gone.issuperset(p) for p in places)]
-                ids += [doc] * len(found)
+                where += [k] * len(found)
                 own += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(where, pa.int64())).cast(DOC), pa.array(own, pa.int64())], schema=schema)
 
     return run
 
@@ -234,52 +241,69 @@ def _align(least_words: int):
     return run
 
 
-def common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, n_lines and gone (the numbers of the lines to delete, from 0) for every document."""
-    lined = docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, lines array<binary>, words array<int>")
-    table = written(lined.withColumn("row", F.monotonically_increasing_id()), "lines")  # written once, so the row ids stay
-    each = table.where("doc_id is not null").select("doc_id", "lines", "words").mapInArrow(_runs(least_words), "doc_id long, run long")
-    each = written(each.distinct(), "lines-runs")
-    often = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).where("docs > 1")
-    met = written(each.join(often, "run").select("run", "doc_id", "first", "docs"), "lines-met")
-    few = met.where(F.col("docs") <= rare).groupBy("run").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    near = few.select(F.posexplode("ids").alias("at", "doc_id"), "ids").where("at > 0").select("doc_id", F.explode(F.slice("ids", F.lit(1), F.col("at"))).alias("first"))
-    far = met.where((F.col("docs") > rare) & (F.col("doc_id") > F.col("first"))).select("doc_id", "first")
-    pairs = written(near.union(far).distinct(), "lines-pairs")
+def common_lines(docs: DataFrame, keep: list, rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """kept (a struct of the columns ``keep``), lines (digests), words and gone (the numbers of the lines to delete, from 0) of every document."""
+    scratch = Scratch(docs.sparkSession)
+    named = docs.select(F.struct(*keep).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    kind = T.StructType([*named.schema[:3], T.StructField("lines", T.ArrayType(T.BinaryType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
+    table = written(named.mapInArrow(frugal(_lines), kind).withColumn("row", F.monotonically_increasing_id()), "lines")  # written once, so the row numbers stay
+    known = table.select(F.struct("doc_id", "hash", "row").alias("doc"), "row", "lines", "words")
+
+    each = known.select("doc", "lines", "words").mapInArrow(frugal(_runs(least_words)), f"doc {DOC_KIND}, run long")
+    each = scratch.written(each.distinct(), "lines-runs")
+    often = each.groupBy("run").agg(F.min("doc").alias("first"), F.count("*").alias("docs")).where("docs > 1")
+    met = scratch.written(join_unique(each, often, "run", hot(each, "run")), "lines-met")
+    few = met.where(F.col("docs") <= rare).groupBy("run").agg(F.sort_array(F.collect_list("doc")).alias("ids"))
+    near = few.select(F.posexplode("ids").alias("at", "doc"), "ids").where("at > 0").select("doc", F.explode(F.slice("ids", F.lit(1), F.col("at"))).alias("first"))
+    far = met.where((F.col("docs") > rare) & (F.col("doc") > F.col("first"))).select("doc", "first")
+    pairs = scratch.written(near.union(far).distinct().select(F.col("doc.row").alias("row"), F.col("first.row").alias("first")), "lines-pairs")
 
     def aligned(some: DataFrame) -> DataFrame:
-        first = table.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))
-        both = some.join(first, "first").join(table.select("doc_id", "row", "lines", "words"), "doc_id").select("row", "first_lines", "lines", "words")
-        return both.mapInArrow(_align(least_words), "row long, gone array<int>")
+        first = table.select(F.col("row").alias("first"), F.col("lines").alias("first_lines"))
+        both = join_unique(some, first, "first", hot(some, "first"))
+        both = join_unique(both, table.select("row", "lines", "words"), "row", hot(some, "row")).select("row", "first_lines", "lines", "words")
+        return both.mapInArrow(frugal(_align(least_words)), "row long, gone array<int>")
 
     def united(found: DataFrame) -> DataFrame:
         return found.select("row", F.explode("gone").alias("g")).groupBy("row").agg(F.sort_array(F.collect_set("g")).alias("gone"))
 
-    gone = written(united(aligned(pairs)), "lines-gone")
+    gone = scratch.written(united(aligned(pairs)), "lines-gone")
     often = met.where(F.col("docs") > rare)
-    runs = often.where(F.col("doc_id") > F.col("first")).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    left = table.join(runs, "doc_id").join(gone, "row", "left").select("doc_id", "lines", "words", "runs", "gone").mapInArrow(_standing(least_words), "doc_id long, run long")
-    more = left.join(often.select("run", F.col("doc_id").alias("first")), "run").where("first < doc_id").select("doc_id", "first").distinct().join(pairs, ["doc_id", "first"], "left_anti")
-    gone = united(gone.union(aligned(more)))
-    return table.join(gone, "row", "left").select("doc_id", "row", F.size("lines").cast("long").alias("n_lines"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"), "words", "lines")
+    runs = often.where(F.col("doc") > F.col("first")).groupBy(F.col("doc.row").alias("row")).agg(F.collect_list("run").alias("runs"))
+    left = known.join(runs, "row").join(gone, "row", "left").select("doc", "lines", "words", "runs", "gone").mapInArrow(frugal(_standing(least_words)), f"doc {DOC_KIND}, run long")
+    more = left.join(often.select("run", F.col("doc").alias("first")), "run").where("first < doc").select(F.col("doc.row").alias("row"), F.col("first.row").alias("first"))
+    more = scratch.written(more.distinct().join(pairs, ["row", "first"], "left_anti"), "lines-more")
+    gone = written(united(gone.union(aligned(more))), "lines-all-gone")
+    scratch.drop()
+
+    # Rows that lose nothing for certain are not shuffled.
+    loses = member(gone.select(F.xxhash64("row").alias("h")), BITS)(F.xxhash64("row"))
+    none = F.array().cast("array<int>")
+    out = table.where(~loses).withColumn("gone", none).unionByName(table.where(loses).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", none)))
+    return out.select("kept", "lines", "words", "gone")
+
+
+def _stay():
+    """The numbers of the lines that stay."""
+    return F.array_except(F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>")), F.col("gone"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_words, removed (line numbers) and kept_sha256 (of the digests of the lines that stay)."""
-    found = common_lines(docs, **options)
-    kept = F.expr("filter(lines, (x, i) -> not array_contains(gone, i))")
+    found = common_lines(docs, ["doc_id"], **options)
     return found.select(
-        "doc_id",
-        "n_lines",
+        "kept.doc_id",
+        F.size("lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
         F.expr("aggregate(gone, 0L, (s, i) -> s + words[i])").alias("removed_words"),
         F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"),
-        F.sha2(F.array_join(F.transform(kept, lambda x: F.coalesce(F.hex(x), F.lit(""))), "\n"), 256).alias("kept_sha256"),
+        F.sha2(F.array_join(F.transform(_stay(), lambda i: F.coalesce(F.hex(F.get("lines", i)), F.lit(""))), "\n"), 256).alias("kept_sha256"),
     )
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """The documents without the deleted lines; the other lines and columns stay as they are."""
-    gone = common_lines(docs, **options).where("size(gone) > 0").groupBy("doc_id").agg(F.first("gone").alias("_gone"))
-    text = F.array_join(F.expr("filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i))"), "\n")
-    return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    found = common_lines(docs, [F.col(f"`{c}`") for c in docs.columns], **options)
+    lines = F.split(F.col("kept").getField("text"), "\n", -1)
+    text = F.when(F.size("gone") > 0, F.array_join(F.transform(_stay(), lambda i: F.get(lines, i)), "\n")).otherwise(F.col("kept").getField("text"))
+    return found.select(*[text.alias(c) if c == "text" else F.col("kept").getField(c).alias(c) for c in docs.columns])

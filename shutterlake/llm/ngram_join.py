@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kernels import Words, flag, frugal, mix, shingles, slices
-from .shared import Scratch, bitmap, hot, in_bitmap, join_unique, small, written
+from .kernels import Words, frugal, mix, shingles, slices
+from .shared import Scratch, hot, join_unique, member, small, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK = 5, 0.8, 32, 4, 1e-6, 1024
 CHUNK = 16
@@ -288,14 +288,6 @@ def _digest(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _marked(handle):
-    def run(columns):
-        for column in columns:
-            yield pa.array(in_bitmap(handle.value, column.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
-
-    return run
-
-
 def _join(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int, tolerance: float, block: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id and key of every row, whose key is null if its text has no words; key, rep, n, links and label of every class)."""
     fewest = least_matches(threshold, tolerance, bands * rows)
@@ -324,8 +316,8 @@ def _join(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int
 
     found = scratch.written(found.join(classes, found["node"] == classes["key"]).select("key", "label", "rep", "n"), "join-groups")
     sized = join_unique(found, found.groupBy("label").agg(F.count("*").alias("size")), "label", hot(found, "label"))
-    handle = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(F.xxhash64("rep", "key").alias("h")), BITS))
-    texts = keyed.where(flag(_marked(handle))(_identity())).withColumnRenamed("key", "text_key")
+    wanted = member(found.select(F.xxhash64("rep", "key").alias("h")), BITS)
+    texts = keyed.where(wanted(_identity())).withColumnRenamed("key", "text_key")
     # The same join at every size: neither side has a bound, so neither is broadcast.
     brought = sized.hint("merge").join(texts, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).dropDuplicates(["key"])
     brought = _grid(brought, "size", block).select("label", "bi", "bj", "chunk", "key", "n", "text")
@@ -363,7 +355,6 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int =
     judged on their own, and a null doc_id is the last in order. Texts without words all stay. Rows that stay for certain are
     not shuffled: a bitmap of fixed size tells them from those that may go.
     """
-    spark = docs.sparkSession
     ids, final = _join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle, threshold, bands, rows, tolerance, block)
     order = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")
     keeps = _with_least(final, F.min(order), "kept").select("key", (F.col("kept") == order).alias("first"), "rep")
@@ -371,14 +362,13 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int =
     judged = join_unique(each, keeps, "key", hot(ids.where("key is not null"), "key"))
     stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("rep"))
     touched = written(judged.where(~stays | (F.col("times") > 1)).select("doc_id", "key", stays.alias("stays")), "join-touched")
-    handle = spark.sparkContext.broadcast(bitmap(touched.select(_identity().alias("h")), BITS))
+    may_go = member(touched.select(_identity().alias("h")), BITS)
 
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _digest(text_col).alias("key"))
-    maybe = flag(_marked(handle))(_identity())
-    certain = docs.where(~flag(_marked(handle))(F.xxhash64(F.col("doc_id").cast("long"), _digest(text_col))))
+    certain = docs.where(~may_go(F.xxhash64(F.col("doc_id").cast("long"), _digest(text_col))))
     # Of the rows that the bitmap marks: those that it marks wrongly, and one of each that stays.
     known = touched.select(F.col("doc_id").alias("id"), F.col("key").alias("digest"), "stays")
-    marked = packed.where(maybe).join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("digest")), "left")
+    marked = packed.where(may_go(_identity())).join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("digest")), "left")
     wrongly = marked.where("stays is null").select("row.*")
     one = marked.where("stays").groupBy("doc_id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return certain.unionByName(wrongly).unionByName(one)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kernels import flag
+
 #: Tables with at most so many rows are joined by broadcast; larger ones by a shuffle.
 MOST_BROADCAST = 500_000
 #: Values of a join key are hot beyond ``LEAST_HOT`` rows and a ``MOST_HOT``-th of all.
@@ -105,6 +108,17 @@ def in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1 > 0
 
 
+def member(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
+    """A function of a column of 64-bit hashes: false only for those that are not in ``hashes``."""
+    handle = hashes.sparkSession.sparkContext.broadcast(bitmap(hashes, bits))
+
+    def run(columns):
+        for column in columns:
+            yield pa.array(in_bitmap(handle.value, column.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
+
+    return flag(run)
+
+
 def hot(table: DataFrame, key: str) -> list:
     """The values of a written table's column that hold more than a ``MOST_HOT``-th of its rows; there are fewer than that."""
     return [r[0] for r in table.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HOT, table.count() // MOST_HOT)).select(key).collect()]

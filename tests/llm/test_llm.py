@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from oracle import compare
 
-from shutterlake.llm import langid, linededup, media, quality, secretscan, tokenfiles
+from shutterlake.llm import langid, media, quality, secretscan, tokenfiles
 from shutterlake.llm.kernels import Words, slices
 from shutterlake.llm.queries import TOKENIZER, VOCABULARY, oracle_sql, public_path, queries
 
@@ -124,42 +124,6 @@ def test_units_encode_like_the_tokenizer():
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_line_dedup(spark, none):
-    block = "\n".join(f"line {k} of a block with quite a few words in it" for k in range(4))
-    rows = [(1, f"one\n{block}\ntail"), (2, f"other\n{block}\nmore"), (3, f"one\n{block}\ntail"), (4, "one\nshort"), (5, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["removed"] for r in linededup.report(df).collect()} == {1: "", 2: "1,2,3,4", 3: "0,1,2,3,4,5", 4: "", 5: ""}
-    assert {r["doc_id"]: r["removed"] for r in linededup.report(df, rare=1).collect()} == {1: "", 2: "1,2,3,4", 3: "0,1,2,3,4,5", 4: "", 5: ""}
-    assert {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}[2] == "other\nmore"
-    assert linededup.report(none).count() == 0
-    assert linededup.patience(list("abcde"), list("xbcdy")) == [(1, 1), (2, 2), (3, 3)]
-
-
-def test_line_dedup_pairs_on_runs(spark):
-    block = ["eight words stand in this line as first", "and twelve words stand in this other line that is the second", "short tail"]
-    rows = [(k, f"{line}\nonly {k}") for k, line in enumerate(block)]  # each line occurs alone first
-    rows += [(k, "\n".join([f"head {k}", *block[: 2 + k % 2], f"end {k}"])) for k in range(10, 40)]
-    got = {r["doc_id"]: r["removed"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {r[0]: "" if r[0] < 11 else "1,2" if r[0] % 2 == 0 or r[0] == 11 else "1,2,3" for r in rows}
-    p, q = ("\n".join(f"{name} {k} is one line of a block that many documents have" for k in range(2)) for name in "pq")
-    rows = [(0, f"{p}\n{q}"), (1, p), *((k, f"{q}\n{p}") for k in range(2, 20))]  # in another order than in the first
-    got = [linededup.report(spark.createDataFrame(rows, "doc_id long, text string"), rare=r).collect() for r in (8, 1000)]
-    assert [{r["doc_id"]: r["n_removed"] for r in g} for g in got] == [{0: 0, 1: 2} | {k: 4 for k in range(2, 20)}] * 2
-
-
-def test_line_dedup_without_unique_lines():
-    p = [f"p{k}" for k in range(3)]
-    for a, b in ((["x", *p, "y", *p, "z"], ["u", *p, "v"]), (["u", *p, "v"], ["x", *p, "y", *p, "z"])):
-        got = linededup.doomed(a, b, [8] * len(b), 20)
-        assert [b[j] for j in got] == p
-    assert linededup.doomed(["x", *p, "y", "p2", "z"], ["u", "p0", None, "p1", "p2", "v", "p2", "w"], [8, 8, 0, 8, 8, 8, 8, 8], 20) == [1, 3, 4]
-    rng = np.random.default_rng(5)
-    for _ in range(300):
-        a, b = (rng.integers(0, 3, rng.integers(0, 12)).tolist() for _ in range(2))
-        i, j, n = linededup.longest_block(a, b)
-        assert a[i : i + n] == b[j : j + n] and n == max((m for m in range(13) for x in range(len(a) - m + 1) for y in range(len(b) - m + 1) if a[x : x + m] == b[y : y + m]), default=0)
-
-
 def test_media(docs, none):
     got = {r["doc_id"]: r for r in media.report(docs).collect()}
     for row in ROWS:
