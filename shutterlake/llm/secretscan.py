@@ -1,14 +1,23 @@
 """Secret scan: fixed patterns, and a token-efficiency test that exposes random strings.
 
-The patterns give the base kinds ``assign``, ``access`` and ``hex``. The test adds the kind ``random``: a run of at least
-``least_run`` characters of the base64 alphabets that mixes letters and digits, and for which a byte-level vocabulary needs so
-many tokens that there are fewer than ``most_chars_per_token`` characters for each. Text that people write is in the vocabulary
-in long pieces; random strings are not. Dots end a run, so the segments of a dotted token are tested one by one; in the path of a URL
-each segment of that length is tested on its own. Left out are known digests (hexadecimal of a digest's length), UUIDs, numbers, mail
-addresses, the host part of a URL, and what a base span covers already.
+The patterns give the base kinds ``assign``, ``access`` and ``hex``. The test adds the kind ``random``. A run of characters of the
+base64 alphabets is cut at ``+/_=-`` into pieces. The run is random if a byte-level vocabulary needs so many tokens for them, each
+as a word of running text, that there are few characters for each: at most the second number of the entry of ``LIMITS`` for the
+run's length. Pieces of ``LEAST_PIECE`` characters or more must hold ``LEAST_LONG`` in all. Text that people write is in the vocabulary in long parts, slugs and
+identifiers too; random strings are not. If a run is not random as a whole, each of its pieces is tested.
+
+The limits are calibrated: from 20 characters on, two characters for each token hold 95 % or more of random strings of letters and
+digits, and none of the long words of the documents; from 16 to 19 the limit is lower, since some words come near. ``measure``
+gives recall and false alarms for any vocabulary.
+
+Dots end a run, so the segments of a dotted token are tested one by one; in the path of a URL each segment is tested on its own.
+Left out are known digests (hexadecimal of a digest's length, integrity digests), UUIDs, numbers, mail addresses, the host part
+of a URL, and what a base span covers already.
 
 Defined results: a null text counts as empty and has no spans; spans are in code points, end exclusive, ordered by start and
-then kind as listed in KINDS; repeated rows each get a result; other columns are ignored; an empty table gives no rows.
+then kind as listed in KINDS; of equal matches each counts where it stands; repeated rows get equal results each; a text of any
+length is scanned whole, as a slice of its own; columns but doc_id and text are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import runs, slices
+from .kernels import frugal, runs, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -29,13 +38,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that have 16 or more
 NAMES = (b"passw", b"secret", b"token", b"api")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
-LEAST_RUN, MOST_CHARS_PER_TOKEN = 20, 2.4
+LEAST_PIECE, LEAST_LONG = 4, 12
+#: Characters from which on, and the most characters for each token that a random string has.
+LIMITS = ((16, 1.55), (20, 2.0))
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 URL = re.compile(rb"(?<=[A-Za-z])://(?:[^\s/@?#]*@)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)([^\s\"'<>?#]*)")
 DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 TOP_PATH = re.compile(rb"[a-z]{2,24}/")  # the end of a host name without a scheme, and its path
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+INTEGRITY = re.compile(r"(?<![A-Za-z0-9])sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+={0,2}")
+PIECE = re.compile("[A-Za-z0-9]+")
 
 _b = np.arange(256)
 _DIGIT, _LOW, _UP = (_b >= 48) & (_b <= 57), (_b >= 97) & (_b <= 122), (_b >= 65) & (_b <= 90)
@@ -53,12 +66,38 @@ def base_spans(text: str, hex_too: bool = True) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_random(run: str, encode, most: float) -> bool:
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return False
-    if UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)):
+def _is_word(piece: str, encode) -> bool:
+    return piece.isalpha() and (piece.islower() or piece.isupper() or piece.istitle()) and len(encode(" " + piece)) == 1
+
+
+def _few(pieces: list[str], length: int, encode, limits) -> bool:
+    most = max((limit for least, limit in limits if length >= least), default=0.0)
+    if not most or sum(len(p) for p in pieces if len(p) >= LEAST_PIECE) < LEAST_LONG:
         return False
-    return len(run) < most * len(encode(run))
+    return sum(map(len, pieces)) <= most * sum(len(encode(" " + p)) for p in pieces)
+
+
+def random_parts(run: str, encode, limits=LIMITS) -> list[tuple[int, int]]:
+    """The run itself, less words at its ends, if that is random, else its pieces that are: (start, end) in the run."""
+    blank = lambda m: " " * len(m.group())
+    rest = INTEGRITY.sub(blank, UUID.sub(blank, run))
+    pieces = [m for m in PIECE.finditer(rest) if not (len(m.group()) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", m.group()))]
+    if all(m.group().isdigit() for m in pieces):
+        return []
+    own = list(pieces)
+    while own and _is_word(own[0].group(), encode):
+        own.pop(0)
+    while own and _is_word(own[-1].group(), encode):
+        own.pop()
+    start, end = (0 if own[:1] == pieces[:1] else own[0].start(), len(run) if own[-1:] == pieces[-1:] else own[-1].end()) if own else (0, 0)
+    if _few([m.group() for m in own], end - start, encode, limits):
+        return [(start, end)]
+    return [m.span() for m in pieces if len(pieces) > 1 and not m.group().isdigit() and _few([m.group()], len(m.group()), encode, limits)]
+
+
+def measure(runs: list[str], encode, limits=LIMITS) -> float:
+    """The share of the runs that are random, in whole or in part."""
+    return sum(bool(random_parts(r, encode, limits)) for r in runs) / max(1, len(runs))
 
 
 def addresses(raw: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -105,7 +144,8 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def _scan(path: str, least_run: int, most: float):
+def _scan(path: str, limits):
+    least_run = min(least for least, _ in limits)
     schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
     ready = []
 
@@ -138,7 +178,7 @@ def _scan(path: str, least_run: int, most: float):
                         for parts in candidates(raw, int(rs[k] - texts.at[i]), int(re_[k] - texts.at[i]), *known, least_run):
                             if not ready:
                                 ready.append(encoder(path))
-                            parts = [(s, e) for s, e in parts if is_random(raw[s:e].decode(), ready[0], most)]
+                            parts = [(s + a, s + b) for s, e in parts for a, b in random_parts(raw[s:e].decode(), ready[0], limits)]
                             for start, end in parts:
                                 at = len(raw[:start].decode("utf-8", "replace"))
                                 if not any(s < at + end - start and at < e for s, _, e in base):
@@ -155,6 +195,6 @@ def _scan(path: str, least_run: int, most: float):
     return run
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str, least_run: int = LEAST_RUN, most_chars_per_token: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
+def scan_secrets(docs: DataFrame, vocabulary: str, limits=LIMITS) -> DataFrame:
     """doc_id, a count for each kind, base_sha256 and spans for every document; vocabulary: path of a file of ranks."""
-    return docs.select("doc_id", "text").mapInArrow(_scan(vocabulary, least_run, most_chars_per_token), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(_scan(vocabulary, limits)), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
