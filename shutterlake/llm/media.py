@@ -3,18 +3,21 @@
 ``store`` turns payloads into media: the bytes, padded with 255 to a multiple of ``UNIT``, are the samples of an 8-bit grey image
 ``SIDE`` wide, in PNG (lossless). Each is kept once for each task that meets it, in a written table with its digest (SHA-256 of
 the padded payload), and each document gets an HTML page that refers to it by digest. ``sequences`` parses pages into ordered
-structs, text or media reference, with captions at the references' positions. ``resolve`` joins the references to what is read
-back from the store, one row for each digest. References without a payload, and payloads without a reference, are kept apart.
+structs, text or media reference: every img, video, audio, embed and object is an item where it stands, with the caption of its
+figure or its own alternative text; a video or audio without src takes its first source, and what stands in a picture beside its
+img is the same medium. ``resolve`` joins the references to what is read back from the store, one row for each digest;
+``unreferenced`` gives what no page refers to.
 
 Defined results: a null payload counts as empty (one unit of padding); equal payloads have one digest and equal results; a null
-page has an empty sequence; repeated rows each get a result; other columns are ignored; an empty table gives no rows.
+page has an empty sequence; a reference without a payload has null columns; text in scripts, styles and fallbacks is none; pages
+of any length and depth are parsed in memory proportional to the page; a text of any length is one image; repeated rows each get
+a result; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
-import re
 import struct
 import zlib
 
@@ -22,18 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .kernels import slices
-from .shared import written
+from .htmltree import BLOCK, CLOSE, OPEN, TEXT, UNSEEN, attributes, walk
+from .kernels import frugal, slices
+from .shared import hot, join_unique, written
 
 UNIT, SIDE = 576, 24
 PNG = b"\x89PNG\r\n\x1a\n"
 SCHEME = "sha256:"
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-_PART = re.compile(r"<figure[^>]*>.*?</figure>|<img\b[^>]*>|<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]+>", re.DOTALL | re.IGNORECASE)
-_SRC, _ALT = re.compile(r"""\bsrc\s*=\s*["']?([^"'\s>]+)""", re.IGNORECASE), re.compile(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.IGNORECASE)
-_CAPTION = re.compile(r"<figcaption[^>]*>(.*?)</figcaption>", re.DOTALL | re.IGNORECASE)
-_INLINE = re.compile(r"</?(?:b|i|em|strong|a|span|u|s|sub|sup|small|code|mark)\b", re.IGNORECASE)
+MEDIA = frozenset("img video audio embed object".split())
 
 
 def padded(raw: bytes) -> bytes:
@@ -106,41 +108,95 @@ def _store(batches):
 
 def store(docs: DataFrame) -> DataFrame:
     """A written table: doc_id, n_bytes, html, digest and, where the task met the digest first, media."""
-    return written(docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, html string, digest string, media binary"), "media-store")
+    return written(docs.select("doc_id", "text").mapInArrow(frugal(_store), "doc_id long, n_bytes long, html string, digest string, media binary"), "media-store")
+
+
+def _source(attrs: dict[str, str]) -> str | None:
+    """The reference of a media element: src or data, else what lazy loading or a set of sources names first."""
+    for name in ("src", "data", "data-src", "srcset", "data-srcset"):
+        value = html.unescape(attrs.get(name, "")).strip()
+        if value:
+            return value.split(",")[0].split()[0] if name.endswith("srcset") else value
+    return None
 
 
 def sequence(page: str | None) -> list[dict]:
     """The interleaved items of a page: text, and references to media with their captions."""
     out: list[dict] = []
-    words: list[str] = []
+    parts: list[str] = []
+    caption: list[str] = []
+    figures: list[int] = []  # for each open figure, its first item
+    waiting: list[tuple[str, str | None]] = []  # open video and audio elements without src, with their captions
+    unseen = in_caption = 0
 
-    def flush():
+    def say(words: list[str]) -> str:
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
+        return text
+
+    def flush():
+        text = say(parts)
         if text:
             out.append({"position": len(out), "kind": "text", "text": text, "digest": None, "caption": None})
 
-    at, page = 0, page or ""
-    for m in _PART.finditer(page):
-        words.append(page[at : m.start()])
-        at, part = m.end(), m.group()
-        src = _SRC.search(part) if re.match("<(img|figure)", part, re.IGNORECASE) else None
-        if src:
+    def refer(link: str, alt: str | None):
+        flush()
+        out.append({"position": len(out), "kind": "media", "text": None, "digest": link.removeprefix(SCHEME), "caption": alt})
+
+    for kind, name, raw in walk(page or ""):
+        if kind == TEXT:
+            if in_caption:
+                caption.append(name)
+            elif not unseen:
+                parts.append(name)
+            continue
+        if kind == CLOSE:
+            if name == "figcaption":
+                in_caption -= 1
+            elif name == "figure":
+                flush()
+                said, first = say(caption), figures.pop()
+                for item in out[first:]:
+                    if said and item["kind"] == "media":
+                        item["caption"] = said
+            elif name in ("video", "audio") and waiting:
+                waiting.pop()
+            elif name in BLOCK and not in_caption:
+                flush()
+            unseen -= name in UNSEEN
+            continue
+        if name in MEDIA and not (unseen and name == "img"):
+            attrs = attributes(raw)
+            alt = " ".join(html.unescape(attrs.get("alt") or attrs.get("aria-label") or attrs.get("title") or "").split()) or None
+            link = _source(attrs)
+            if link and not waiting:
+                refer(link, alt)
+            if kind == OPEN and name in ("video", "audio"):
+                waiting.append((name, alt) if not link else ("", alt))
+        elif name == "source" and waiting and waiting[-1][0]:
+            link = _source(attributes(raw))
+            if link:
+                refer(link, waiting[-1][1])
+                waiting[-1] = ("", None)
+        elif name == "figure" and kind == OPEN:
             flush()
-            said, alt = _CAPTION.search(part), _ALT.search(part)
-            caption = re.sub("<[^>]*>", "", said.group(1)) if said else (alt.group(1) or alt.group(2)) if alt else None
-            link = html.unescape(src.group(1))
-            out.append({"position": len(out), "kind": "media", "text": None, "digest": link.removeprefix(SCHEME), "caption": " ".join(html.unescape(caption).split()) if caption else None})
-        elif not _INLINE.match(part):
+            figures.append(len(out))
+        elif name == "figcaption" and kind == OPEN:
             flush()
-    words.append(page[at:])
+            caption.append(" ")
+            in_caption += 1
+        elif name in BLOCK and not in_caption:
+            flush()
+        elif name == "br" or name in BLOCK:
+            (caption if in_caption else parts).append(" ")
+        if kind == OPEN:
+            unseen += name in UNSEEN
     flush()
     return out
 
 
 def sequences(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """doc_id and items for every page."""
-    kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -148,7 +204,8 @@ def sequences(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html")
             shape = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, shape)], names=[id_col, "items"])
 
-    return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, items {ITEMS}")
+    kind = T.StructType([pages.schema[id_col], T.StructField("items", T._parse_datatype_string(ITEMS))])
+    return pages.select(id_col, html_col).mapInArrow(frugal(run), kind)
 
 
 def _read(batches):
@@ -165,18 +222,27 @@ def _read(batches):
 
 def descriptors(table: DataFrame) -> DataFrame:
     """What the stored media are, read back: one row for each digest."""
-    read = table.where("media is not null").select("digest", "media").mapInArrow(_read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    read = table.where("media is not null").select("digest", "media").mapInArrow(frugal(_read), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return read.dropDuplicates(["digest"])
 
 
-def resolve(items: DataFrame, known: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row for each media reference, in place, with the columns of its descriptor (null where there is no payload)."""
+def resolve(items: DataFrame, known: DataFrame, id_col: str = "doc_id", often: list | None = None) -> DataFrame:
+    """A row for each media reference, in place, with the columns of its descriptor (null where there is no payload).
+
+    known has each digest once; ``often`` names the digests that many references share, whose descriptors are brought to them.
+    """
     refs = items.select(id_col, F.explode("items").alias("item")).where("item.kind = 'media'").select(id_col, "item.position", "item.caption", "item.digest")
-    return refs.join(known, "digest", "left")
+    return join_unique(refs, known, "digest", often or [], "left")
+
+
+def unreferenced(items: DataFrame, known: DataFrame) -> DataFrame:
+    """The descriptors that no page refers to."""
+    refs = items.select(F.explode("items.digest").alias("digest")).distinct()
+    return known.join(refs, "digest", "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The digest columns of every document's payload, through store, sequences and resolve."""
     table = store(docs)
-    found = resolve(sequences(table.select(F.struct("doc_id", "n_bytes").alias("doc"), "html"), "doc"), descriptors(table), "doc")
+    found = resolve(sequences(table.select(F.struct("doc_id", "n_bytes").alias("doc"), "html"), "doc"), descriptors(table), "doc", hot(table, "digest"))
     return found.select("doc.doc_id", "doc.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
