@@ -8,8 +8,9 @@ and on the labellers' measures), fitted on a bounded sample of about ``sample``
 
 Patterns number at most 3 to the number of labellers, so what the driver gets is bounded. No document's gold label is read.
 
-Defined results: null and wordless texts have no votes but bad from ``length`` and score 0; equal texts get equal scores;
-repeated rows each get a result; other columns are ignored; an empty table gives no rows (the scorer is then constant).
+Defined results: null and wordless texts have no votes but bad from ``length`` and score 0; equal texts get equal scores, repeated
+rows too; a text of any length is measured whole, as a slice of its own; a pattern whose votes balance gets the prior's side;
+columns but doc_id and text are ignored, whatever their names; an empty table gives no rows (the scorer is then constant).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, mix, shingles, slices, sums
+from .kernels import Words, frugal, mix, shingles, slices, sums
 
 BUCKETS, SAMPLE, ROUNDS, EPOCHS, RATE, DECAY = 1 << 14, 6000, 50, 12, 0.5, 1e-4
 KEEP = 0.5
@@ -157,16 +158,17 @@ def _sampled(batches):
 
 
 def train(rows: pa.Table, posterior: dict[str, float], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the buckets and of the measures, by AdaGrad over the sample in the order of a fixed permutation."""
-    rows = rows.sort_by("doc_id")
+    """Weights of the buckets and of the measures, by AdaGrad; each epoch takes the sample, sorted by its contents, in a seeded permutation."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("pattern", "ascending"), ("buckets", "ascending")])
     width = 1 + len(LABELLERS)
     w, d = np.zeros(BUCKETS), np.zeros(width)
     gw, gd = np.full(BUCKETS, 1e-3), np.full(width, 1e-3)
     each = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(x, "<f8"), posterior[p]) for p, b, x in zip(*(rows.column(c).to_pylist() for c in ("pattern", "buckets", "dense")))]
     rng = np.random.Generator(np.random.PCG64(5))
     for _ in range(epochs):
+        order = rng.permutation(len(each)).tolist()
         for lo in range(0, len(each), 64):
-            part = [each[k] for k in rng.permutation(len(each))[:64]] if len(each) > 64 else each
+            part = [each[k] for k in order[lo : lo + 64]]
             at = np.concatenate([[0], np.cumsum([len(p[0]) for p in part])])
             f = (np.concatenate([p[0] for p in part]), at, np.stack([p[1] for p in part]))
             error = 1 / (1 + np.exp(-np.clip(linear((w, d), f), -30, 30))) - np.array([p[2] for p in part])
@@ -200,7 +202,7 @@ def _score(handle):
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, score (0 to 1), posterior (of the labellers' votes), votes and keep (score of at least KEEP) for every document."""
     own = docs.select("doc_id", "text")
-    table = {r["pattern"]: r["n"] for r in own.mapInArrow(_vote, "doc_id long, pattern string").groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    table = {r["pattern"]: r["n"] for r in own.mapInArrow(frugal(_vote), "doc_id long, pattern string").groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     total = sum(table.values())
     if not total:
         weights, posterior, prior = (np.zeros(BUCKETS), np.zeros(1 + len(LABELLERS))), {}, 0.5
@@ -208,7 +210,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         posterior, prior, _ = expect(table)
         share = max(1, int(1_000_000 * min(1.0, sample / total)))
         chosen = own.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(41)), F.lit(1_000_000)) < share)
-        weights = train(chosen.mapInArrow(_sampled, "doc_id long, pattern string, buckets binary, dense binary").toArrow(), posterior)
+        weights = train(chosen.mapInArrow(frugal(_sampled), "doc_id long, pattern string, buckets binary, dense binary").toArrow(), posterior)
     handle = docs.sparkSession.sparkContext.broadcast((weights, posterior, prior))
-    scored = own.mapInArrow(_score(handle), "doc_id long, score double, posterior double, votes string")
+    scored = own.mapInArrow(frugal(_score(handle)), "doc_id long, score double, posterior double, votes string")
     return scored.withColumn("keep", F.col("score") >= KEEP)
