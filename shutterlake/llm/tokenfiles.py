@@ -6,11 +6,13 @@ frame its compressed and decompressed size and a checksum (low 32 bits of the XX
 frames, a descriptor byte and the magic number. A reader takes the two tables from the end of the file and decompresses only
 the frames of the documents that it wants.
 
-Files are written by range of doc_id in the shared folder, under a temporary name that is renamed when the file is whole, so a
-task that is run again replaces its file. What goes to the driver is one row for each file.
+Files are written by range of doc_id in the shared folder, each named by its range's number, under a temporary name that is
+renamed when the file is whole, so a task that is run again replaces its file. What goes to the driver is one row for each file;
+these rows, the manifest, are written beside the files, and ``manifest`` reads them in any session.
 
 Defined results: a null text counts as empty (only the end id); rows with equal doc_id are neighbours in one file, in the order
-of their texts; a null doc_id sorts first; other columns are ignored; an empty table makes no files.
+of their texts; a null doc_id sorts first; a text of any length is one frame; units are told apart by 64-bit hashes; columns but
+doc_id and text are ignored, whatever their names; an empty table makes no files and an empty manifest.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from .kernels import FOLD, Texts, frugal, hash_runs, runs, slices
 from .shared import fresh
 
 END_ID = 1
+MANIFEST = "file string, first long, docs long, tokens long, start long"
 SEEKABLE, SKIPPABLE, IDS_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 LEVEL = 1
 #: Units (words, runs of punctuation) whose ids a worker keeps; beyond, it starts anew.
@@ -234,14 +238,15 @@ def _write(folder: str, tokenizer: str):
     def run(batches):
         encoder, writer, first, docs, tokens = None, None, None, 0, 0
         fs, root = opened(folder)
-        name = f"{uuid.uuid4().hex}"
+        number = TaskContext.get().partitionId()
+        name, part = f"tokens-{number:06d}.zst", f".tokens-{number:06d}-{uuid.uuid4().hex}.part"
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 encoder = UnitEncoder(tokenizer)
                 fs.create_dir(root, recursive=True)
-                sink = fs.open_output_stream(f"{root}/.{name}.part")
+                sink = fs.open_output_stream(f"{root}/{part}")
                 writer, first = Writer(sink), batch.column("doc_id")[0].as_py()
             doc_ids = batch.column("doc_id").to_pylist()
             for texts in slices(batch.column("text")):
@@ -253,8 +258,10 @@ def _write(folder: str, tokenizer: str):
         if writer is not None:
             writer.close()
             sink.close()
-            fs.move(f"{root}/.{name}.part", f"{root}/{name}.zst")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.zst"]), pa.array([first], pa.int64()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], schema=schema)
+            if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.File:  # of an earlier attempt
+                fs.delete_file(f"{root}/{name}")
+            fs.move(f"{root}/{part}", f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([first], pa.int64()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], schema=schema)
 
     return run
 
@@ -269,11 +276,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     for r in files:
         out.append((r["file"], r["first"], r["docs"], r["tokens"], start))
         start += r["tokens"]
-    return manifest(spark, out)
+    spark.createDataFrame(out, MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
+    return manifest(spark, folder)
 
 
-def manifest(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "file string, first long, docs long, tokens long, start long")
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each file of a folder that ``write_tokens`` filled."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def _read(batches):
@@ -299,7 +308,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files; each file is a task of its own."""
     spark = files.sparkSession
     n = max(1, files.count())
-    return files.repartitionByRange(n, "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(n, "start").mapInArrow(frugal(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(files: DataFrame) -> DataFrame:

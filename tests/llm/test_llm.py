@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from oracle import compare
 
-from shutterlake.llm import langid, media, quality, secretscan, tokenfiles
+from shutterlake.llm import langid, secretscan, tokenfiles
 from shutterlake.llm.kernels import Words, slices
 from shutterlake.llm.queries import TOKENIZER, VOCABULARY, oracle_sql, public_path, queries
 
@@ -101,6 +101,9 @@ def test_token_files(docs, none):
         ids = [*t.encode(row[1] or "", add_special_tokens=False).ids, 1]
         assert tuple(r) == (row[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    # A task that is run again replaces its file, and the manifest can be read later.
+    folder = files.first()["file"].rsplit("/", 1)[0]
+    assert sorted(map(tuple, tokenfiles.manifest(docs.sparkSession, folder).collect())) == sorted(map(tuple, files.collect()))
     fs, path = tokenfiles.opened(files.first()["file"])
     with fs.open_input_file(path) as source:
         reader = tokenfiles.Reader(source)
@@ -122,27 +125,6 @@ def test_units_encode_like_the_tokenizer():
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_media(docs, none):
-    got = {r["doc_id"]: r for r in media.report(docs).collect()}
-    for row in ROWS:
-        raw = (row[1] or "").encode()
-        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        r = got[row[0]]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-    assert media.report(docs).count() == len(ROWS) and media.report(none).count() == 0
-    items = media.sequence('<p>a &amp; <b>b</b></p><img src="x.png" alt="pic"><p>c</p>')
-    assert [(i["position"], i["text"], i["digest"], i["caption"]) for i in items] == [(0, "a & b", None, None), (1, None, "x.png", "pic"), (2, "c", None, None)]
-
-
-def test_quality(spark, none):
-    good = [(i, "This is a sentence of ordinary words, number %d. " % i * 1 + " ".join(f"w{i}x{k}," for k in range(40)), 1) for i in range(150)]
-    bad = [(1000 + i, "SPAM!! " * 60 + str(i), 0) for i in range(80)]
-    df = spark.createDataFrame([*good, *bad, (5000, None, 0)], "doc_id long, text string, quality int")
-    got = {r["doc_id"]: r for r in quality.classify(df).collect()}
-    assert all(got[i]["keep"] for i, _, _ in good) and not any(got[i]["keep"] for i, _, _ in bad) and got[5000]["score"] == 0
-    assert quality.classify(none).count() == 0
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
