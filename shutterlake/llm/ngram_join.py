@@ -311,7 +311,8 @@ def _join(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int
         met = banded.join(sizes, "bucket")
     met = met.join(sketch.select("key", "signature"), "key")
     met = _grid(met, "size", block).select("bucket", "bi", "bj", "chunk", "key", "signature")
-    met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    # By key too, so that the members of a group hang on the same one in all their buckets, and equal edges collapse.
+    met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "key")
     found = components(met.mapInArrow(frugal(_prune(bands, rows, fewest)), "a binary, b binary"))
 
     found = scratch.written(found.join(classes, found["node"] == classes["key"]).select("key", "label", "rep", "n"), "join-groups")
@@ -321,7 +322,7 @@ def _join(docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int
     # The same join at every size: neither side has a bound, so neither is broadcast.
     brought = sized.hint("merge").join(texts, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).dropDuplicates(["key"])
     brought = _grid(brought, "size", block).select("label", "bi", "bj", "chunk", "key", "n", "text")
-    brought = brought.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
+    brought = brought.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "key")
     links = scratch.written(brought.mapInArrow(frugal(_verify(shingle, threshold, bands * rows, fewest)), "a binary, b binary, links long"), "join-links")
 
     linked = components(links)
