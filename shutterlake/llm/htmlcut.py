@@ -55,9 +55,11 @@ FADES = 0.95
 PHRASES = re.compile(
     r"\xa9|all rights reserved|we use cookies|(?:accept|manage)(?: all)? cookies|(?:cookie|privacy) policy|terms (?:of|and) \w+|subscribe (?:to|now)|sign (?:up|in)\b|log in\b|read more"
     r"|share (?:this|on)|follow us|leave a (?:comment|reply)|(?:related|popular|latest) (?:articles|posts|stories|news)|most (?:read|popular)|you may also like|skip to|back to top|advertisement|sponsored",
-    re.IGNORECASE,
 )
+#: Every phrase holds one of these, which are sought first.
+PHRASE_PARTS = ("\xa9", "rights", "cookies", "policy", "terms", "subscribe", "sign ", "log in", "read more", "share ", "follow us", "leave a", "related", "popular", "latest", "most read", "you may", "skip to", "back to", "advert", "sponsor")
 ENDS = frozenset(".!?…。:;\"'”)")
+DIGIT = re.compile("[0-9]")
 PUNCTUATION = re.compile(r"[.,;:!?…。、]")
 
 MEASURES = (
@@ -222,6 +224,14 @@ def _inherited(tree: Tree) -> tuple[list[float], list[float], list[int]]:
     return against, favour, header
 
 
+def _phrases(text: str) -> float:
+    """The share of a text that phrases of boilerplate are."""
+    low = text.lower()
+    if not any(p in low for p in PHRASE_PARTS):
+        return 0.0
+    return sum(len(m.group()) for m in PHRASES.finditer(low)) / len(low)
+
+
 def measured(found: list[Block], tree: Tree) -> np.ndarray:
     """A row of ``MEASURES`` for each block."""
     against, favour, header = _inherited(tree)
@@ -246,8 +256,8 @@ def measured(found: list[Block], tree: Tree) -> np.ndarray:
             b.linked * math.log1p(n) / 5,
             text[-1] in ENDS,
             min(0.3, len(PUNCTUATION.findall(text)) / n) * 3,
-            sum(map(str.isdigit, text)) / len(text),
-            min(1.0, sum(len(m.group()) for m in PHRASES.finditer(text)) / len(text) * 2),
+            len(DIGIT.findall(text)) / len(text),
+            min(1.0, _phrases(text) * 2),
             heading,
             b.name in ("p", "blockquote", "pre"),
             b.name in ("li", "dt", "dd"),

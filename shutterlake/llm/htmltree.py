@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.DOTALL)
@@ -45,7 +45,7 @@ def walk(page: str) -> Iterator[tuple[int, str, str]]:
     HTML says that it must; an end tag without its start tag is left out.
     """
     stack: list[str] = []
-    is_open: Counter = Counter()
+    is_open: defaultdict[str, int] = defaultdict(int)
 
     def up_to(k: int):
         while len(stack) > k:
@@ -55,12 +55,11 @@ def walk(page: str) -> Iterator[tuple[int, str, str]]:
 
     def innermost(names, stop) -> int:
         """The place of the innermost open element of ``names``, or -1 if one of ``stop`` is further in."""
-        if any(is_open[n] for n in names):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in names:
-                    return k
-                if stack[k] in stop:
-                    break
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k] in names:
+                return k
+            if stack[k] in stop:
+                break
         return -1
 
     at, end = 0, len(page)
@@ -85,15 +84,16 @@ def walk(page: str) -> Iterator[tuple[int, str, str]]:
             if name == "br":
                 yield EMPTY, name, ""
                 continue
-            k = innermost((name,), SECTIONS - {name} if name in PHRASING else ())
-            if k >= 0:
-                yield from up_to(k)
+            if is_open[name]:
+                k = len(stack) - 1 if stack[-1] == name else innermost((name,), SECTIONS if name in PHRASING else ())
+                if k >= 0:
+                    yield from up_to(k)
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and is_open["p"]:
             k = innermost(("p",), BLOCK - {"p"})
             if k >= 0:
                 yield from up_to(k)
-        if name in CLOSES:
+        if name in CLOSES and any(is_open[n] for n in CLOSES[name]):
             k = innermost(CLOSES[name], LISTS)
             if k >= 0:
                 yield from up_to(k)
