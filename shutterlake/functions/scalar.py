@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Degrees of rotation for the orientation tag.
 ORIENTATION_DEGREES = {1: 0, 2: 0, 3: 180, 4: 180, 5: 90, 6: 90, 7: 270, 8: 270}
+#: The search syntax, a quoted name behind its marker.
 _TOKEN = re.compile(r'([@#])"([^"]+)"')
 
 
@@ -77,6 +78,30 @@ def orientation_degrees(tag) -> Column:
     return F.coalesce(F.element_at(table, _c(tag).cast("int")), F.lit(0))
 
 
+def duration_ms(start, end) -> Column:
+    """Milliseconds from one timestamp to another, whole ones towards zero."""
+    micros = lambda x: F.unix_micros(_c(x).cast("timestamp"))
+    return ((micros(end) - micros(start)) / 1000).cast("long")
+
+
+def cropped_size(width, height, side: int = 224) -> Column:
+    """struct(width, height, x, y, crop_width, crop_height): the shortest edge becomes ``side``, then the centre is cut out."""
+    width, height = _c(width), _c(height)
+    tall = width < height
+    w = F.when(tall, F.lit(side)).otherwise(F.floor(width * side / height)).cast("int")
+    h = F.when(tall, F.floor(height * side / width)).otherwise(F.lit(side)).cast("int")
+    at = lambda x: F.greatest(F.lit(0), F.floor((x - side) / 2)).cast("int")
+    return F.struct(w.alias("width"), h.alias("height"), at(w).alias("x"), at(h).alias("y"), F.least(F.lit(side), w).alias("crop_width"), F.least(F.lit(side), h).alias("crop_height"))
+
+
+def padded_size(width, height, side: int = 1200) -> Column:
+    """struct(scale, width, height, pad_x, pad_y): the image fitted into a square, centred."""
+    width, height = _c(width), _c(height)
+    scale = F.least(side / width, side / height)
+    w, h = F.floor(width * scale + 0.5).cast("int"), F.floor(height * scale + 0.5).cast("int")
+    return F.struct(scale.alias("scale"), w.alias("width"), h.alias("height"), F.floor((side - w) / 2).cast("int").alias("pad_x"), F.floor((side - h) / 2).cast("int").alias("pad_y"))
+
+
 def fitted_size(width, height, longest: int = 512) -> tuple[Column, Column]:
     """Width and height after the longest edge shrinks to ``longest``; smaller images stay."""
     width, height = _c(width), _c(height)
@@ -113,6 +138,13 @@ def ancestors_of(path) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
+def relative_path(path, root) -> Column:
+    """The path below ``root``, without a leading separator; null if it isn't below it."""
+    path, root = _c(path), F.regexp_replace(_c(root), r"[/\\]+$", "")
+    rest = F.substr(path, F.length(root) + 1)
+    return F.when(F.startswith(path, root) & (F.substr(rest, F.lit(1), F.lit(1)).isin("/", "\\") | (rest == "")), F.regexp_replace(rest, r"^[/\\]+", ""))
+
+
 def trimmed_or_null(text) -> Column:
     return F.nullif(F.regexp_replace(_c(text), r"^\s+|\s+$", ""), F.lit(""))
 
@@ -153,7 +185,7 @@ def parse_search(query: str | None) -> SearchQuery:
 
 def caret_token(text) -> Column:
     """struct(marker, prefix) of an unfinished token at the end of ``text``; a no-break space in it counts as a space."""
-    pattern = r"([@#])(\S*)$"
+    pattern = r"([@#])(\S*)$"  # fixed value: the search syntax
     return F.struct(F.regexp_extract(_c(text), pattern, 1).alias("marker"), F.translate(F.regexp_extract(_c(text), pattern, 2), " ", " ").alias("prefix"))
 
 
@@ -186,6 +218,11 @@ def capture_date(original, digitized, modified) -> tuple[Column, Column]:
     return F.coalesce(original, digitized, modified), source
 
 
+def dimensions(*sizes: tuple) -> tuple[Column, Column]:
+    """Width and height, each from the first source (width, height) that has it."""
+    return F.coalesce(*[_c(w) for w, _ in sizes]), F.coalesce(*[_c(h) for _, h in sizes])
+
+
 def exif_json(entries, promoted: list[str]) -> Column:
     """JSON of an array of (directory, tag, description) structs by directory, without the promoted tags; null if none is left."""
     left = F.filter(_c(entries), lambda e: ~e["tag"].isin(promoted))

@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import dot, half_up, l2_normalize
+from ..sources.tables import checkpointed
+from .numbering import in_parts, offsets
 
 
 def sessions(photos: DataFrame, by: list[str], date: str, key: str, gap: str = "6 hours") -> DataFrame:
     """Photos with the number of their event in its group; a new one begins when the gap is exceeded (not when it is met).
 
-    Without ``by`` the whole table is one sequence and so one window partition; with a real user or camera column it isn't.
+    Without ``by`` the whole table is one sequence; it is dealt by date, and events are numbered on from part to part.
     """
+    if not by:
+        return _one_sequence(photos.where(F.col(date).isNotNull()), date, key, gap)
     w = Window.partitionBy(*by).orderBy(date, key)
     new = F.when(F.col(date) - F.lag(date).over(w) > F.expr(f"interval {gap}"), 1).otherwise(0)
     return photos.where(F.col(date).isNotNull()).withColumn("_new", new).withColumn("event", F.sum("_new").over(w)).drop("_new")
 
 
+def _one_sequence(photos: DataFrame, date: str, key: str, gap: str) -> DataFrame:
+    table = in_parts(photos, [F.col(date), F.col(key)], "sessions")
+    last, before = [], None
+    for r in table.groupBy("_part").agg(F.max(date).alias("last")).orderBy("_part").collect():
+        last.append((r["_part"], before))
+        before = r["last"]
+    kind = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_last", photos.schema[date].dataType)])
+    table = table.join(F.broadcast(photos.sparkSession.createDataFrame(last, kind)), "_part")
+    w = Window.partitionBy("_part").orderBy(date, key)
+    new = F.when(F.col(date) - F.coalesce(F.lag(date).over(w), F.col("_last")) > F.expr(f"interval {gap}"), 1).otherwise(0)
+    table = checkpointed(table.withColumn("_new", new).drop("_last"), "sessions")
+    return table.join(F.broadcast(offsets(table, F.sum("_new"))), "_part").withColumn("event", F.sum("_new").over(w) + F.col("_before")).drop("_new", "_part", "_before")
+
+
 def event_albums(photos: DataFrame, by: list[str], date: str, key: str, gap: str = "6 hours", least: int = 5) -> DataFrame:
     """A row for each event of at least so many photos: name (its first date), cover (its first photo), start, end, n."""
     out = sessions(photos, by, date, key, gap).groupBy(*by, "event").agg(F.min(date).alias("start"), F.max(date).alias("end"), F.count("*").alias("n"), F.min_by(key, F.struct(date, key)).alias("cover"))

@@ -66,8 +66,25 @@ def suggestions(df: DataFrame, name: str, prefix: str, most: int = 8, live: Colu
     return (out.where(live) if live is not None else out).orderBy(F.asc_nulls_last(name)).limit(most)
 
 
-def due(actions: DataFrame, now) -> DataFrame:
-    return actions.where((F.col("status") == "PENDING") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= F.lit(now))))
+def unclustered(faces: DataFrame) -> DataFrame:
+    """Faces that wait for a cluster: in none, and not excluded."""
+    return faces.where(F.col("cluster_id").isNull() & ~F.col("excluded"))
+
+
+def movable(faces: DataFrame) -> DataFrame:
+    return faces.where(~F.col("assignment_locked") & ~F.col("excluded"))
+
+
+def locked(faces: DataFrame) -> DataFrame:
+    return faces.where(F.col("assignment_locked") & ~F.col("excluded"))
+
+
+def arranged(df: DataFrame, by: str, order: list) -> DataFrame:
+    """A list in groups: the group's place (nulls last) and each row's place in it, from 0."""
+    place = df.select(by).distinct()
+    place = place.withColumn("group_at", F.row_number().over(Window.orderBy(F.asc_nulls_last(by))) - 1)
+    out = numbered(df, [by], order, "at")
+    return out.join(F.broadcast(place.withColumnRenamed(by, "_by")), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def merge_candidates(persons: DataFrame, person_id: int) -> DataFrame:
@@ -109,6 +126,11 @@ def neighbours(df: DataFrame, by: list[str], order: list, key: str) -> DataFrame
     return df.withColumn("previous", F.coalesce(F.lag(key).over(w), F.col(key))).withColumn("next", F.coalesce(F.lead(key).over(w), F.col(key)))
 
 
+def before(df: DataFrame, by: list[str], order: list, column: str, name: str = "before") -> DataFrame:
+    """The value of the row before, within a group."""
+    return df.withColumn(name, F.lag(column).over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def details(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """A row (key, position, label, value) for each field that isn't null."""
     pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f).alias("label"), F.col(f).cast("string").alias("value")) for i, f in enumerate(fields)])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
+from .albums import most_central
 from .joins import majority_owner
 
 THRESHOLD, MIN_FACES, REASSIGNMENTS = 0.4, 2, 5
@@ -55,9 +56,10 @@ class Greedy:
 def greedy(faces: DataFrame, clusters: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
     """id, cluster_id and seeded for every face (id, embedding) with a vector, in the order of ids. clusters: (id, centroid, member_count)."""
     seeds = [] if clusters is None else [(r[0], r[1], r[2]) for r in clusters.select("id", "centroid", "member_count").orderBy("id").collect()]
+    handle = faces.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches):
-        state = Greedy(seeds, threshold)
+        state = Greedy(handle.value, threshold)
         for part in batches:
             if not len(part):
                 continue
@@ -140,15 +142,31 @@ def recluster(faces: DataFrame, threshold: float = THRESHOLD, least: int = MIN_F
         state = state_next.drop("was")
         if done:
             break
-    size = state.groupBy("at").agg(F.count("*").alias("n")).withColumn("old", F.col("at").isin(list(seeds)))
+    # New clusters have ids beyond all old ones.
+    size = state.groupBy("at").agg(F.count("*").alias("n")).withColumn("old", F.col("at") <= base)
     kept = state.join(size, "at").where((F.col("n") >= least) | F.col("old")).select("id", F.col("at").alias("cluster_id"))
     before = faces.select("id", F.col("person_id").alias("person_before"))
     owner = majority_owner(kept.join(before, "id"), "cluster_id", "person_before").select("cluster_id", F.col("person_before").alias("person_id"))
     return faces.select("id").join(kept.join(owner, "cluster_id", "left"), "id", "left").select("id", "cluster_id", "person_id")
 
 
+def covers(assigned: DataFrame, faces: DataFrame) -> DataFrame:
+    """person_id and cover_face_id of a reclustering (id, cluster_id, person_id): the most central face of the person's largest cluster.
+
+    Ties go to the lowest cluster and face.
+    """
+    own = assigned.where("cluster_id is not null").join(faces.select("id", "embedding"), "id")
+    size = own.where("person_id is not null").groupBy("person_id", "cluster_id").agg(F.count("*").alias("n"))
+    largest = size.groupBy("person_id").agg(F.max_by("cluster_id", F.struct(F.col("n"), -F.col("cluster_id"))).alias("cluster_id"))
+    central = most_central(own, "cluster_id", "embedding", "id").select("cluster_id", F.col("id").alias("cover_face_id"))
+    return largest.join(central, "cluster_id").select("person_id", "cover_face_id")
+
+
 def spherical_kmeans(vectors: DataFrame, k: int | None = None, rounds: int = 20) -> DataFrame:
-    """id and cluster (from 0) of vectors (id, embedding). The first k rows by id start; k is max(2, sqrt(n / 2)) if not given."""
+    """id and cluster (from 0) of vectors (id, embedding). The first k rows by id start; k is max(2, sqrt(n / 2)) if not given.
+
+    A row keeps its cluster beside its vector; a round assigns once, in place, and is a written table.
+    """
     own = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
     n = own.count()
     k = k or max(2, int((n / 2.0) ** 0.5))
@@ -156,14 +174,13 @@ def spherical_kmeans(vectors: DataFrame, k: int | None = None, rounds: int = 20)
     if not first:
         return own.select("id", F.lit(0).alias("cluster")).limit(0)
     at = np.array([r["embedding"] for r in first], np.float64)
-    before = None
+    state = own.withColumn("at", F.lit(-1).cast("long"))
     for _ in range(rounds):
-        assigned = _assign(own, at, list(range(len(at))), None, None)
-        if before is not None:
-            again = _assign(own, before, list(range(len(before))), None, None).select("id", F.col("new").alias("old"))
-            if assigned.join(again, "id").where("new <> old").limit(1).count() == 0:
-                break
-        means = _means(assigned, "new")
-        before = at
+        moved = checkpointed(_assign(state, at, list(range(len(at))), None, "at").select("id", "embedding", F.col("new").alias("at"), "was"), "kmeans")
+        done = moved.where("at <> was").limit(1).count() == 0
+        state = moved.drop("was")
+        if done:
+            break
+        means = _means(state, "at")
         at = np.stack([means.get(c, at[c]) for c in range(len(at))])
-    return _assign(own, before if before is not None else at, list(range(len(at))), None, None).select("id", F.col("new").cast("int").alias("cluster"))
+    return state.select("id", F.col("at").cast("int").alias("cluster"))

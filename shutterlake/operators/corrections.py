@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .albums import centroids
+from ..functions.scalar import rotated
+from ..sources.tables import checkpointed
+from .albums import centroids, most_central
 
 
 def recomputed(clusters: DataFrame, faces: DataFrame) -> DataFrame:
@@ -77,28 +79,54 @@ def orphans(persons: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.join(persons.where("merged_into_id is not null").select(F.col("merged_into_id").alias("id")), "id", "left_anti")
 
 
-def resolve_redirects(persons: DataFrame, key: str = "id", into: str = "merged_into_id", most: int = 40) -> DataFrame:
-    """id and the person at the end of the chain of merges, by pointer jumping; a chain that runs in a circle gives null."""
-    step = persons.select(F.col(key).alias("id"), F.coalesce(F.col(into), F.col(key)).alias("at"))
-    hops = 1
-    while hops < most:
-        far = step.select(F.col("id").alias("at"), F.col("at").alias("far"))
-        step = step.join(far, "at", "left").select("id", F.coalesce("far", "at").alias("at"))
-        hops *= 2
-    ends = persons.where(F.col(into).isNull()).select(F.col(key).alias("at"), F.lit(True).alias("end"))
-    return step.join(ends, "at", "left").select("id", F.when(F.col("end"), F.col("at")).alias("current_id"))
+def resolve_redirects(persons: DataFrame, key: str = "id", into: str = "merged_into_id") -> DataFrame:
+    """id and the person at the end of the chain of merges; a chain that runs in a circle, or to nobody, gives null.
+
+    Pointers jump twice as far in each round, which is a written table and one join; a chain of n persons takes log n rounds.
+    """
+    step = checkpointed(persons.select(F.col(key).alias("id"), F.coalesce(F.col(into), F.col(key)).alias("at"), F.col(into).isNull().alias("ended")), "redirects")
+    far = step.select(F.col("id").alias("at"), F.col("at").alias("far"), F.col("ended").alias("far_ended"))
+    for _ in range(max(1, step.where("not ended").count().bit_length())):
+        if step.where("not ended").limit(1).count() == 0:
+            break
+        step = checkpointed(step.join(far, "at", "left").select("id", F.when(F.col("ended"), F.col("at")).otherwise(F.col("far")).alias("at"), (F.col("ended") | F.coalesce("far_ended", F.lit(False))).alias("ended")), "redirects")
+        far = step.select(F.col("id").alias("at"), F.col("at").alias("far"), F.col("ended").alias("far_ended"))
+    return step.select("id", F.when(F.col("ended"), F.col("at")).alias("current_id"))
 
 
 def rotate(photos: DataFrame, photo_id: int, by: int) -> DataFrame:
     """Turns a photo and clears what was derived from its pixels, tags included."""
-    from ..functions.scalar import rotated
-
     hit = F.col("id") == photo_id
     flags = [c for c in photos.columns if c.startswith("ai_") and c.endswith("_done")]
     out = photos.withColumn("orientation", F.when(hit, rotated("orientation", by)).otherwise(F.col("orientation")).cast("int"))
     return out.withColumns({c: F.when(hit, False).otherwise(F.col(c)) for c in flags})
 
 
+def rotate_and_clear(photos: DataFrame, photo_id: int, by: int, **derived: tuple[DataFrame, str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(photos, the tables derived from them without the photo's rows); derived: name to (table, its photo column)."""
+    return rotate(photos, photo_id, by), {name: df.where(~F.col(fk).eqNullSafe(F.lit(photo_id))) for name, (df, fk) in derived.items()}
+
+
+def reassign_to_new(faces: DataFrame, clusters: DataFrame, persons: DataFrame, moving: DataFrame, name: str, person_id: int, cluster_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(faces, clusters, persons) after faces go to a person who is made for them.
+
+    Exactly one whole cluster moves intact; any other set of faces becomes the new cluster. The face nearest to the centroid
+    is the person's cover.
+    """
+    gone = moves(faces, moving).agg(F.count("*").alias("n"), F.min("whole").alias("whole"), F.min("cluster_id").alias("c")).first()
+    loose = faces.where("cluster_id is null").join(moving.select("id"), "id", "left_semi").limit(1).count()
+    intact = gone["n"] == 1 and gone["whole"] and not loose
+    if intact:
+        out, left = reassign(faces, clusters, moving, person_id)
+    else:
+        out, left = reassign(faces, clusters, moving, person_id, cluster_id=cluster_id)
+        made = out.where(F.col("cluster_id") == cluster_id).limit(1).select(F.lit(cluster_id).cast("long").alias("id"), F.lit(person_id).cast("long").alias("person_id"))
+        left = recomputed(clusters.unionByName(made, allowMissingColumns=True), out)
+    own = out.where(F.col("cluster_id") == (gone["c"] if intact else cluster_id))
+    cover = most_central(own, "cluster_id", "embedding", "id").select(F.lit(person_id).cast("long").alias("id"), F.lit(name).alias("name"), F.col("id").alias("cover_face_id"))
+    return out, left, persons.unionByName(cover, allowMissingColumns=True)
+
+
 def destinations(persons: DataFrame, clusters: DataFrame, suggested: int | None) -> DataFrame:
     """A row for each prototype of every person who isn't merged away, the suggested one flagged; persons without one stay."""
     live = persons.where("merged_into_id is null").select(F.col("id").alias("person_id"), "name")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dropped
+from .numbering import row_numbers
 
 
 def hash_plan(photos: DataFrame, hashes: DataFrame, key: str, size: str, hashed_size: str) -> DataFrame:
@@ -30,6 +31,11 @@ def folder_pairs(photos: DataFrame, by: list[str], key: str, folder: str) -> Dat
     return inside.where("n >= 2 and folders = 2").groupBy("folder_a", "folder_b").agg(F.count("*").alias("group_count"), F.sum("n").alias("photos"))
 
 
+def ranked_pairs(pairs: DataFrame) -> DataFrame:
+    """Folder pairs with their place, those with most groups first, then by folder."""
+    return row_numbers(pairs, [F.desc("group_count"), F.col("folder_a"), F.col("folder_b")], "at")
+
+
 def pair_sizes(photos: DataFrame, by: list[str], folder: str, size: str) -> DataFrame:
     """For each pair of folders: photos and bytes (null: 0) of its groups in either folder."""
     each = photos.dropna(subset=by).groupBy(*by, folder).agg(F.count("*").alias("c"), F.sum(F.coalesce(F.col(size), F.lit(0))).alias("b"))

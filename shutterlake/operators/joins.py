@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,15 @@ def face_persons(faces: DataFrame, clusters: DataFrame) -> DataFrame:
     return faces.join(clusters, faces["cluster_id"] == clusters["id"]).select(faces["id"].alias("face_id"), clusters["person_id"])
 
 
-def photo_persons(faces: DataFrame, clusters: DataFrame, persons: DataFrame) -> DataFrame:
-    """A row for each face of a person who has a cover face: photo, person, and the cover face's photo."""
-    f, c, p, cover = faces.alias("f"), clusters.alias("c"), persons.alias("p"), faces.alias("cover")
-    out = f.join(c, F.col("f.cluster_id") == F.col("c.id")).join(p, F.col("c.person_id") == F.col("p.id")).join(cover, F.col("p.cover_face_id") == F.col("cover.id"))
-    return out.select(F.col("f.id").alias("face_id"), F.col("f.photo_id").alias("photo_id"), F.col("p.id").alias("person_id"), F.col("cover.photo_id").alias("cover_photo_id"))
+def photo_persons(faces: DataFrame, clusters: DataFrame, persons: DataFrame, covers: DataFrame | None = None) -> DataFrame:
+    """A row for each face of a person who has a cover face: photo, person, and the cover face's photo.
+
+    Covers are looked up for persons, not for faces; ``covers`` are the faces to look among, if not all.
+    """
+    cover = (faces if covers is None else covers).select(F.col("id").alias("cover_face_id"), F.col("photo_id").alias("cover_photo_id"))
+    known = persons.select(F.col("id").alias("person_id"), "cover_face_id").join(cover, "cover_face_id").select("person_id", "cover_photo_id")
+    owned = clusters.select(F.col("id").alias("cluster_id"), "person_id").join(known, "person_id")
+    return faces.select(F.col("id").alias("face_id"), "photo_id", "cluster_id").join(owned, "cluster_id").select("face_id", "photo_id", "person_id", "cover_photo_id")
 
 
 def person_faces(faces: DataFrame, clusters: DataFrame, person_id) -> DataFrame:
@@ -42,8 +46,26 @@ def having_all(photo_tags: DataFrame, photo: str, tag: str, wanted: list) -> Dat
 
 
 def other_members(members: DataFrame, group: str) -> DataFrame:
-    """Each member with the number of others in its group."""
-    return members.withColumn("others", F.count("*").over(Window.partitionBy(group)) - 1)
+    """Each member with the number of others in its group; a large group's rows are not gathered, its count is brought to them."""
+    counts = members.where(F.col(group).isNotNull()).groupBy(group).agg((F.count("*") - 1).alias("others"))
+    return members.join(counts, group)
+
+
+def vectors_of(faces: DataFrame, embeddings: DataFrame, face: str = "face_id") -> DataFrame:
+    """Faces with their vectors; faces without one drop out."""
+    return faces.join(embeddings.select(F.col(face).alias("id"), "embedding"), "id")
+
+
+def with_files(photos: DataFrame, thumbnails: DataFrame, files: DataFrame) -> DataFrame:
+    """photos (id) with cached: whether a thumbnail is known (photo_id, cache_path) and its file is in the listing (path)."""
+    there = thumbnails.where("cache_path is not null").join(files.select(F.col("path").alias("cache_path")).distinct(), "cache_path", "left_semi")
+    return photos.join(there.select(F.col("photo_id").alias("id"), F.lit(True).alias("cached")).distinct(), "id", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
+def shown(photos: DataFrame, tags: DataFrame, key: str, tag: str) -> DataFrame:
+    """Each photo of a page with its tags as one text, in order, and how many photos the page shows."""
+    text = tags.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(tag)), ", ").alias("tags"))
+    return photos.join(text, key, "left").crossJoin(F.broadcast(photos.agg(F.count("*").alias("shown"))))
 
 
 def in_order(ids: DataFrame, rows: DataFrame, key: str, rank: str) -> DataFrame:

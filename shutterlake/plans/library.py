@@ -104,10 +104,10 @@ def prefix_suggest(t) -> DataFrame:
     return browse.suggestions(t.customer, "c_name", "customer#00000001", live=F.col("c_acctbal") > 0).select("c_name")
 
 
-@query("SELECT p_name, p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_name ILIKE 'p%' ORDER BY p_name, p_partkey LIMIT 8")
+@query("SELECT p_name, p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_name ILIKE 'S%' ORDER BY p_name, p_partkey LIMIT 8")
 def used_tag_suggest(t) -> DataFrame:
     used = joins.used_tags(t.part, t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
-    return used.where(F.col("p_name").ilike("p%")).orderBy("p_name", "p_partkey").limit(8).select("p_name", "p_partkey")
+    return used.where(F.col("p_name").ilike("S%")).orderBy("p_name", "p_partkey").limit(8).select("p_name", "p_partkey")
 
 
 @query("SELECT l_orderkey, l_linenumber AS line, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -152,8 +152,9 @@ def face_person_snapshot(t) -> DataFrame:
 def photo_persons(t) -> DataFrame:
     owner = joins.face_persons(_faces(t), _clusters(t)).where("person_id % 3 = 0")
     persons = owner.groupBy(F.col("person_id").alias("id")).agg(F.min("face_id").alias("cover_face_id"))
-    out = joins.photo_persons(_faces(t), _clusters(t), persons)
-    return out.groupBy("face_id", "photo_id", "person_id").agg(F.min("cover_photo_id").alias("cover_photo_id"))
+    # Ids repeat in these stand-ins; covers are cut to one row each before the join, not after it.
+    covers = _faces(t).groupBy("id").agg(F.min("photo_id").alias("photo_id"))
+    return joins.photo_persons(_faces(t), _clusters(t), persons, covers).distinct()
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS photo_id FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 13)")
@@ -280,9 +281,9 @@ def event_albums_session_window(t) -> DataFrame:
     return _text(albums.event_albums_windowed(t.events, ["user_id"], "ts"), "start", "end")
 
 
-@query("SELECT floor(c_acctbal / 1000 * 100 + 0.5) / 100 AS cell_lat, floor(c_nationkey / 100.0::DOUBLE * 100 + 0.5) / 100 AS cell_lon, count(*) AS n, min(c_custkey) AS cover FROM customer GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("SELECT floor(c_acctbal / 100000 * 100 + 0.5) / 100 AS cell_lat, floor(c_nationkey / 1000.0::DOUBLE * 100 + 0.5) / 100 AS cell_lon, count(*) AS n, min(c_custkey) AS cover FROM customer GROUP BY 1, 2 HAVING count(*) >= 3")
 def location_cells(t) -> DataFrame:
-    at = t.customer.select("c_custkey", (F.col("c_acctbal") / 1000).alias("lat"), (F.col("c_nationkey") / F.lit(100.0)).alias("lon"))
+    at = t.customer.select("c_custkey", (F.col("c_acctbal") / 100000).alias("lat"), (F.col("c_nationkey") / F.lit(1000.0)).alias("lon"))
     return albums.location_albums(at, "lat", "lon", "c_custkey")
 
 
@@ -329,10 +330,10 @@ def error_texts(t) -> DataFrame:
     return t.documents.select("doc_id", S.ellipsis("text").alias("error"), S.truncated("text", 20).alias("head"))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN c_custkey + 1 END AS merged_into_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT c_custkey + 1 FROM customer WHERE c_custkey % 10 = 1)")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN c_custkey + 1 END AS merged_into_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 4 <> 0) AND c_custkey NOT IN (SELECT c_custkey + 1 FROM customer WHERE c_custkey % 10 = 1)")
 def orphan_persons(t) -> DataFrame:
     persons = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 1, F.col("c_custkey") + 1).alias("merged_into_id"))
-    return corrections.orphans(persons, _clusters(t))
+    return corrections.orphans(persons, _clusters(t).where("person_id % 4 <> 0"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey = 13 THEN 26 ELSE o_custkey END AS person_id FROM orders")

@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import library, search  # noqa: F401
+    from . import changes, facts, library, search  # noqa: F401
 
     return dict(_queries)
 

@@ -35,10 +35,23 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder of ``spark.checkpoint.dir`` (a folder of this machine only if none is set)."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shutterlake-")
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names, deleted when the driver ends.
+
+    Only in local mode, as in tests, a folder of this machine stands in for one that is unset.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="shutterlake-")
     path = f"{at.rstrip('/')}/shutterlake-core/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: its lineage is cut, and the loss of an executor doesn't lose it."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,3 @@
-import struct
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -6,9 +5,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import imaging
 from shutterlake.functions import scalar as S
-from shutterlake.functions.bpe import PairTokenizer
 from shutterlake.operators import albums, browse, cluster, corrections, dedupe, dml, joins, vectors
-from shutterlake.sources import photos, tables
+from shutterlake.sources import tables
 
 
 def one(spark, *columns):
@@ -133,17 +131,6 @@ def test_changes(spark, tmp_path):
     assert dml.preference(spark.createDataFrame([("a", "1")], "pref_key string, pref_value string"), "b", "x").first()[0] == "x"
 
 
-def test_headers():
-    ifd0 = struct.pack("<HHHIIHHIII", 2, 0x112, 3, 1, 6, 0x8769, 4, 1, 38, 0)
-    exif = struct.pack("<HHHIII", 1, 0x9003, 2, 20, 56, 0)
-    body = b"Exif\0\0" + b"II*\0\x08\0\0\0" + ifd0 + exif + b"2023:06:15 14:30:00\0"
-    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 600, 800) + b"\0" * 10
-    got = photos.header(jpeg)
-    assert (got["width"], got["height"], got["orientation"], got["original"]) == (800, 600, 6, datetime(2023, 6, 15, 14, 30))
-    assert photos.header(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 320, 240)) == {"width": 320, "height": 240}
-    assert photos.header(b"# text") == {}
-
-
 def test_images(spark):
     x = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
     assert imaging.invariant_hash(x) == imaging.invariant_hash(np.rot90(x)) != imaging.invariant_hash(x[:, ::-1])
@@ -153,8 +140,6 @@ def test_images(spark):
     a = np.array([[0, 0], [1, 0], [0, 1], [1, 1], [2, 1]], float)
     r = np.array([[0.0, -2.0], [2.0, 0.0]])
     assert np.allclose(imaging.similarity_transform(a, a @ r.T + 3), np.column_stack([r, [3, 3]]))
-    t = PairTokenizer({"l": 1, "o": 2, "w</w>": 3, "lo": 4, "low</w>": 5}, [("l", "o"), ("lo", "w</w>")], 90, 91, length=6)
-    assert t.encode("Low low") == [90, 5, 5, 91, 0, 0] and t.encode(None) == [90, 91, 0, 0, 0, 0]
 
 
 def test_browse(spark):
