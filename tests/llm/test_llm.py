@@ -125,21 +125,6 @@ def test_units_encode_like_the_tokenizer():
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    en = "the cat sat on the mat with a hat and that was the end of this story about a dog".split()
-    rows = [(i, " ".join(np.random.default_rng(i).permutation(en * 3)), "en", f"s{i % 2}", 0) for i in range(60)]
-    rows += [(100, rows[0][1], "en", "s0", 0), (101, None, "en", "s0", 0), (102, " ".join(rows[1][1].split()[:20]), "en", "s1", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, rows[2][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in got}
-    assert ids and not ids & {2, 100, 101}
-    ordered = sorted(got, key=lambda r: r["start"])
-    assert [r["start"] for r in ordered] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in ordered])[:-1]]).tolist()
-
-
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_sql(spark, name):
     assert compare(spark, name, queries()[name], oracle_sql()[name], "/root/testdata/sf0.001") is None
