@@ -17,7 +17,7 @@ from .kernels import flag
 
 #: Tables with at most so many rows are joined by broadcast; larger ones by a shuffle.
 MOST_BROADCAST = 500_000
-#: Values of a join key are hot beyond ``LEAST_HOT`` rows and a ``MOST_HOT``-th of all.
+#: The values of a join key that are hot: so many at most, with more than so many rows.
 LEAST_HOT, MOST_HOT = 256, 500
 #: Bits of a chunk of a bitmap, as a power of 2.
 CHUNK = 16
@@ -120,8 +120,9 @@ def member(hashes: DataFrame, bits: int) -> Callable[[Column], Column]:
 
 
 def hot(table: DataFrame, key: str) -> list:
-    """The values of a written table's column that hold more than a ``MOST_HOT``-th of its rows; there are fewer than that."""
-    return [r[0] for r in table.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HOT, table.count() // MOST_HOT)).select(key).collect()]
+    """The values of a column with the most rows, ``MOST_HOT`` at most and each with more than ``LEAST_HOT``; any other has at most a ``MOST_HOT``-th of all rows."""
+    counts = table.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > LEAST_HOT)
+    return [r[0] for r in counts.orderBy(F.desc("n")).limit(MOST_HOT).collect()]
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, values: list, how: str = "inner") -> DataFrame:
