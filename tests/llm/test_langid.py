@@ -107,6 +107,13 @@ def test_score_is_a_function_of_the_text():
             assert [x[place] for x in got] == [x[0] for x in alone[k]]
 
 
+def test_equal_entropies_go_to_the_first_language():
+    one = fitted()
+    tables = {lang: {"floor": one.floor[0], "grams": [(k, v[:, 0]) for k, v in one.grams], "contexts": [(k, v[:, 0]) for k, v in one.contexts]} for lang in ("xb", "xa", "xc")}
+    preds, scores, _ = langid._judged(langid.Scorer(langid.Model(tables, ORDER)), pa.array(["the cat", "q"]))
+    assert preds == ["xa", "xa"] and all(abs(s - 1 / 3) < 1e-12 for s in scores)
+
+
 def test_longer_than_a_slice():
     model = fitted()
     long = "the cat sat on the mat " * 30_000

@@ -117,6 +117,7 @@ def test_units_encode_like_the_tokenizer():
     pool = [*"abzABZ019 .,;!?'\"<>|-_/@#\n\t\x0b\x0c\x00\x1c\x7fé\xc9\xdf\xd7\xf7\xff\xaa\xba\xb5\xb2\xbd\xa1\xa0\x85\xad€Łıİſ\u212aΣςあ漢\u200b\u3000\u2028\u0301ﬁ\U0001f600", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "don't", "  "]
     rng = np.random.default_rng(3)
     texts = ["".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 40))) for _ in range(5000)]
+    texts.append("".join(pool[k] for k in rng.integers(0, len(pool), 400_000)))  # longer than a slice
     own, whole = tokenfiles.UnitEncoder(public_path(TOKENIZER)), Tokenizer.from_file(public_path(TOKENIZER))
     got = []
     for part in slices(pa.array(texts)):
