@@ -41,7 +41,7 @@ class Plan(NamedTuple):
     sources: DataFrame
     n_sources: int
     blocks: DataFrame
-    n_blocks: int
+    most_blocks: int
     shards: int
     seed: int
 
@@ -55,6 +55,7 @@ def _sources(light: DataFrame, weights, most: int, block_words: int, scratch: Sc
     """(the sources with their targets, how many there are, all words of the mix)."""
     own = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     own = running(own, [F.col("source").isNull(), F.col("source")], [], scratch, "mix-sources").withColumnRenamed("before", "number")
+    scratch.keep_last()
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("double")
     own = own.withColumn("weight", weight)
     # A source is full if the words that a unit of weight gets exceed its limit; what full sources leave raises the unit.
@@ -69,7 +70,7 @@ def _sources(light: DataFrame, weights, most: int, block_words: int, scratch: Sc
         had, unit = r["full"], (total - float(r["limits"] or 0)) / r["weight"]
     target = F.when(full, limit.cast("double")).otherwise(F.lit(unit) * F.col("weight"))
     blocks = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / F.lit(block_words))).cast("long")
-    return written(own.select("source", "number", "source_size", target.alias("target"), blocks.alias("blocks")), "mix-targets"), n, total
+    return own.select("source", "number", "source_size", target.alias("target"), blocks.alias("blocks")), n, total
 
 
 def _with_source(df: DataFrame, sources: DataFrame, n: int) -> DataFrame:
@@ -141,7 +142,6 @@ def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
         (F.col("whole") + (had + F.col("words") <= F.col("rest")).cast("long")).alias("times"),
         F.when((had < F.col("rest")) & (had + F.col("words") > F.col("rest")), F.col("rest") - had).alias("wanted"),
     )
-    blocks = scratch.written(blocks, "mix-quotas")
 
     # Of a block that is taken in part: its documents by place; the one on the edge if at least half of it fits.
     partial = small(blocks.where("wanted is not null").select("number", "block", "wanted"), n_sources)
@@ -163,14 +163,13 @@ def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
     whole = F.transform(F.sort_array(F.collect_list(F.when(F.col("time") < F.col("times"), F.struct("time", "shard")))), lambda x: x["shard"])
     table = drawn.groupBy("number", "block").agg(whole.alias("whole"), F.max(F.when(F.col("time") == F.col("times"), F.col("shard"))).alias("part"))
     table = written(table.join(cuts, ["number", "block"], "left"), "mix-plan")
-    n_blocks = table.count()
     scratch.drop()
-    return Plan(sources, n_sources, table, n_blocks, shards, seed)
+    return Plan(sources, n_sources, table, had, shards, seed)
 
 
 def _taken(df: DataFrame, found: Plan) -> DataFrame:
     """``df`` (source, size, place and others) with a row for each time that a document is taken: shard and rank within it."""
-    out = _with_source(df.where("size > 0"), found.sources, found.n_sources).join(small(found.blocks, found.n_blocks), ["number", "block"])
+    out = _with_source(df.where("size > 0"), found.sources, found.n_sources).join(small(found.blocks, found.most_blocks), ["number", "block"])
     in_part = F.col("part").isNotNull() & F.coalesce(F.col("place") <= F.col("cut"), F.lit(False))
     every = F.when(in_part, F.concat("whole", F.array("part"))).otherwise(F.col("whole"))
     return out.select(*df.columns, F.posexplode(every).alias("time", "shard")).withColumn("rank", F.xxhash64("place", "time", "shard", F.lit(found.seed)))

@@ -61,6 +61,10 @@ class Scratch:
         self.paths.append(at)
         return _write(df, at)
 
+    def keep_last(self) -> None:
+        """The table written last is the result, and stays."""
+        self.paths.pop()
+
     def drop(self) -> None:
         for at in self.paths:
             fs, path = _located(self.spark, at)
