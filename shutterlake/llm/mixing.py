@@ -117,7 +117,9 @@ def _slots(spark, quotas: dict[int, int], shards: int, seed: int) -> DataFrame:
     for lo, hi, own in split(np.array([quotas[c] for c in names], np.int64), 0, shards, seed, -(-shards // SUBTREES)):
         rows.append((lo, hi, names, own.tolist(), first.tolist()))
         first = first + own
-    nodes = spark.createDataFrame(rows, "lo int, hi int, categories array<long>, quotas array<long>, firsts array<long>")
+    numbers = pa.list_(pa.int64())
+    kinds = (pa.int32(), pa.int32(), numbers, numbers, numbers)
+    nodes = spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("lo", "hi", "categories", "quotas", "firsts"), kinds))}))
     leaves = nodes.repartitionByRange(len(rows), "lo").mapInArrow(_shards(seed), "category long, first long, count long, shard int")
     return leaves.select("category", F.explode(F.expr("sequence(first, first + count - 1)")).alias("position"), "shard")
 
@@ -157,7 +159,7 @@ def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
         starts[c] = had
         had += quotas[c]
     instances = running(instances, [F.col(c) for c in ("category", "draw", "number", "block", "time")], [], scratch, "mix-permuted")
-    starts = spark.createDataFrame(sorted(starts.items()), "category long, start long")
+    starts = spark.createDataFrame(pa.table({"category": pa.array(list(starts), pa.int64()), "start": pa.array(list(starts.values()), pa.int64())}))
     instances = instances.join(F.broadcast(starts), "category").withColumn("position", F.col("before") - F.col("start"))
     drawn = instances.join(_slots(spark, quotas, shards, seed), ["category", "position"])
     whole = F.transform(F.sort_array(F.collect_list(F.when(F.col("time") < F.col("times"), F.struct("time", "shard")))), lambda x: x["shard"])

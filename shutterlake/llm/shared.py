@@ -164,7 +164,9 @@ def running(df: DataFrame, order: list[Column], sums: list[str], scratch: Scratc
     parts = table.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"sum_{x}") for x in sums]).orderBy("part").collect()
     offsets, had = [], [0] * len(extra)
     for r in parts:
-        offsets.append((r["part"], *had))
+        offsets.append(had)
         had = [a + b for a, b in zip(had, r[1:])]
-    add = df.sparkSession.createDataFrame(offsets, T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(f"add_{x}", T.LongType()) for x in extra]]))
+    # As Arrow, which the JVM takes without Python workers.
+    columns = {"part": pa.array([r["part"] for r in parts], pa.int32())} | {f"add_{x}": pa.array([o[k] for o in offsets], pa.int64()) for k, x in enumerate(extra)}
+    add = df.sparkSession.createDataFrame(pa.table(columns))
     return table.join(F.broadcast(add), "part").select(*df.columns, *[(F.col(x) + F.col(f"add_{x}")).alias(x) for x in extra])
