@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.tables import checkpointed
 
@@ -20,7 +20,8 @@ def offsets(table: DataFrame, count: Column) -> DataFrame:
     for r in table.groupBy("_part").agg(count.alias("n")).orderBy("_part").collect():
         rows.append((r["_part"], before))
         before += r["n"] or 0
-    return table.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())]))
+    parts, sums = zip(*rows) if rows else ((), ())
+    return table.sparkSession.createDataFrame(pa.table({"_part": pa.array(parts, pa.int32()), "_before": pa.array(sums, pa.int64())}))
 
 
 def row_numbers(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
