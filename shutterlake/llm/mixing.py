@@ -8,7 +8,9 @@
    as it is, since the instances of a category are permuted. The driver splits down to ``SUBTREES`` nodes, tasks split the rest.
 3. A shard takes its quota of each category's permuted instances, which no other shard has, and shuffles its documents by a hash.
 
-There are as many shards as the mix has ``shard_words``, ``LEAST_SHARDS`` at least. Nothing that grows with documents, sources or
+There are as many shards as the mix has ``shard_words``, ``LEAST_SHARDS`` at least. ``mix`` hands a shard on in pieces of about
+``piece_words`` words by the top bits of the shuffling hash, each a task and a partition of its own, so that no task holds a whole
+shard; the partitions stand in the order of shards and pieces. Nothing that grows with documents, sources or
 blocks goes to the driver: it gets a row for each partition, category and subtree. All draws come from hashes and seeds, so
 reruns agree, whatever the partitioning. Sources and blocks are joined by broadcast up to ``MOST_BROADCAST`` rows, by shuffles beyond.
 
@@ -31,6 +33,7 @@ from .shared import Scratch, fresh, running, small, written
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 20240
 BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, LEAST_SHARDS = 1 << 20, 64, 1 << 26, 8
+PIECE_WORDS = 1 << 22
 CATEGORIES, SUBTREES = 1024, 64
 SIZE = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +46,7 @@ class Plan(NamedTuple):
     blocks: DataFrame
     most_blocks: int
     shards: int
+    pieces: int
     seed: int
 
 
@@ -124,12 +128,13 @@ def _slots(spark, quotas: dict[int, int], shards: int, seed: int) -> DataFrame:
     return leaves.select("category", F.explode(F.expr("sequence(first, first + count - 1)")).alias("position"), "shard")
 
 
-def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shards: int | None = None, seed: int = SEED) -> Plan:
+def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, piece_words: int = PIECE_WORDS, shards: int | None = None, seed: int = SEED) -> Plan:
     """What the mix takes of a written table with source, size and place."""
     spark = light.sparkSession
     scratch = Scratch(spark)
     sources, n_sources, words = _sources(light, weights, most, block_words, scratch)
     shards = shards or max(LEAST_SHARDS, -(-int(words) // shard_words))
+    pieces = max(1, -(-int(words) // (shards * piece_words)))
 
     placed = _with_source(light, sources, n_sources)
     blocks = placed.groupBy("number", "block").agg(F.sum("size").alias("words")).withColumn("order", F.xxhash64("number", "block", F.lit(seed)))
@@ -166,7 +171,7 @@ def plan(light: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
     table = drawn.groupBy("number", "block").agg(whole.alias("whole"), F.max(F.when(F.col("time") == F.col("times"), F.col("shard"))).alias("part"))
     table = written(table.join(cuts, ["number", "block"], "left"), "mix-plan")
     scratch.drop()
-    return Plan(sources, n_sources, table, had, shards, seed)
+    return Plan(sources, n_sources, table, had, shards, pieces, seed)
 
 
 def _taken(df: DataFrame, found: Plan) -> DataFrame:
@@ -209,8 +214,12 @@ def report(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The mix: each document as often as it is taken, its columns unchanged, shard by shard in the shards' shuffled order."""
     found = plan(_light(docs, seed), seed=seed, **options)
+    # The top 24 bits of the rank, in its signed order, as a number of pieces.
+    top = F.shiftrightunsigned(F.col("rank").bitwiseXOR(F.lit(-1 << 63)), 40)
+    piece = F.shiftright(top * F.lit(found.pieces).cast("long"), 24)
+    number = (F.col("shard") * F.lit(found.pieces) + piece).cast("int")
     taken = _taken(_packed(docs, seed), found)
-    return taken.repartition(found.shards, "shard").sortWithinPartitions("shard", "rank").select("doc.*")
+    return taken.repartitionById(found.shards * found.pieces, number).sortWithinPartitions("shard", "rank").select("doc.*")
 
 
 def write_shards(docs: DataFrame, folder: str, seed: int = SEED, **options) -> str:

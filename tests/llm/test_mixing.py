@@ -77,6 +77,24 @@ def test_mix_and_shards_agree_with_the_report(spark, docs, tmp_path):
     assert len(one) > 50 and sum(a != b for a, b in zip(one, one[1:])) > len(one) / 4
 
 
+def test_mix_deals_shards_and_their_pieces_to_partitions_of_their_own(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    options = {"block_words": 20}
+
+    def dealt(**more):
+        mixed = mixing.mix(docs, **options, **more)
+        return mixed.select("doc_id", F.spark_partition_id().alias("p")).collect()
+
+    whole, pieces = dealt(), dealt(piece_words=500)
+    for got, parts in ((whole, 8), (pieces, 32)):
+        n = np.bincount([r["p"] for r in got], minlength=parts)
+        assert len(n) == parts and n.min() > 0 and n.max() < 1.6 * n.mean()
+    # Pieces leave the rows and their order as they are, and each partition is a shard of the report.
+    assert [r["doc_id"] for r in pieces] == [r["doc_id"] for r in whole]
+    want = sorted((r["doc_id"], int(x)) for r in mixing.report(docs, **options).collect() for x in r["shards"].split(",") if x)
+    assert sorted((r["doc_id"], r["p"]) for r in whole) == want
+
+
 def test_tree():
     quotas = np.array([50, 0, 7, 900])
     whole = mixing.split(quotas, 0, 11, 3)
