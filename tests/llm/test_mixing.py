@@ -85,10 +85,14 @@ def test_mix_deals_shards_and_their_pieces_to_partitions_of_their_own(spark):
         mixed = mixing.mix(docs, **options, **more)
         return mixed.select("doc_id", F.spark_partition_id().alias("p")).collect()
 
-    whole, pieces = dealt(), dealt(piece_words=500)
-    for got, parts in ((whole, 8), (pieces, 32)):
+    def even(got, parts):
         n = np.bincount([r["p"] for r in got], minlength=parts)
-        assert len(n) == parts and n.min() > 0 and n.max() < 1.6 * n.mean()
+        return len(n) == parts and n.min() > 0 and n.max() < 1.6 * n.mean()
+
+    whole = dealt()
+    assert even(whole, 8)
+    pieces = dealt(piece_words=500)
+    assert even(pieces, 32)
     # Pieces leave the rows and their order as they are, and each partition is a shard of the report.
     assert [r["doc_id"] for r in pieces] == [r["doc_id"] for r in whole]
     want = sorted((r["doc_id"], int(x)) for r in mixing.report(docs, **options).collect() for x in r["shards"].split(",") if x)
